@@ -1,0 +1,94 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+_fallback: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session.
+
+    Only a plain local master, whose executors are the driver itself, may do
+    without the setting; it then gets a temporary folder that is removed when
+    the process ends. On a cluster a missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _fallback:
+        _fallback["dir"] = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, _fallback["dir"], ignore_errors=True)
+    return "file://" + _fallback["dir"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again.
+
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation,
+    and later stages see one stable copy of the rows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files behind a table of :func:`written` that no plan needs any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def spread(spark: SparkSession) -> int:
+    """Partitions for a shuffle that is asked for by number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def prefix_sums(
+    df: DataFrame,
+    order: list[Column],
+    sums: dict[str, Column],
+    label: str,
+) -> DataFrame:
+    """``df`` with, for each entry of ``sums``, the sum over all earlier rows.
+
+    The order is global but no task sees more than one range of it: rows are
+    dealt by range, each range is summed by itself, and the ranges' totals (one
+    row per partition, so bounded by the partition count) are broadcast as the
+    base of the next. Rows equal in ``order`` fall into one range; the order
+    should be unique up to rows that are alike.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(spread(spark), *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, label)
+    totals = ranged.groupBy("_range").agg(*(F.sum(x).alias(f"_total_{n}") for n, x in sums.items()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        "_range",
+        *(F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums),
+    )
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(bases), "_range")
+    for n, x in sums.items():
+        out = out.withColumn(n, F.col(f"_base_{n}") + F.coalesce(F.sum(x).over(inside), F.lit(0)))
+    return reduce(DataFrame.drop, ["_range", *(f"_base_{n}" for n in sums)], out)

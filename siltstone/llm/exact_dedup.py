@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import written
+from siltstone.llm.scratch import as_row, written
 
 #: A digest is heavy when it has at least this share of all rows.
 HEAVY_SHARE = 1 / 2048
@@ -126,11 +126,10 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     The texts of light digests are shuffled once, by digest; of heavy digests
     only one row per task and digest travels.
     """
-    whole = F.struct(*docs.columns)
     keyed = docs.select(
         digest(F.col(text)).alias("digest"),
         F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id")).alias("key"),
-        whole.alias("row"),
+        as_row(docs).alias("row"),
     )
     light = written(keyed.select("digest", "key"), "digests")
     heavy = written(heavy_digests(light), "heavy")

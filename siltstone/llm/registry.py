@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup
+from siltstone.llm import exact_dedup, mixing
 from siltstone.llm.scratch import table
 
 
@@ -21,5 +21,37 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-SQL = {"op1_exact_dedup": SQL_1}
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
+SQL_3 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, 3 * source_size AS cap,
+         (sum(source_size) OVER ())::BIGINT - coalesce(3 * sum(source_size) OVER o, 0)::BIGINT AS money,
+         (sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER o, 0)::BIGINT AS rest
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_max(money, rest) AS money, max(rest) AS rest FROM f WHERE cap * rest >= weight * money),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN l.rest IS NULL OR cap * l.rest < weight * l.money THEN cap::DOUBLE
+              ELSE (weight * l.money)::DOUBLE / l.rest::DOUBLE END AS target
+  FROM f, l),
+r AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '20240607')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM r
+"""
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_source_mix": op3_source_mix}
+SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3}

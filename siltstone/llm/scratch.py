@@ -33,6 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _fallback["dir"]
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no added name can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

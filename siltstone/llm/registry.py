@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing
+from siltstone.llm import exact_dedup, mixing, pii
 from siltstone.llm.scratch import table
 
 
@@ -53,5 +53,13 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_source_mix": op3_source_mix}
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_source_mix": op3_source_mix,
+    "op10_pii_spans": op10_pii_spans,
+}
 SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3}

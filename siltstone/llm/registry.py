@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, mixing, pii
+from siltstone.llm import embedding_dedup, exact_dedup, mixing, pii
 from siltstone.llm.scratch import table
 
 
@@ -53,6 +53,28 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL_4 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE l.b > r.root)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, e.vec_id = c.root AS kept
+FROM embeddings e
+JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+"""
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +82,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op10_pii_spans": op10_pii_spans,
 }
-SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3}
+SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3, "op4_embedding_dedup": SQL_4}

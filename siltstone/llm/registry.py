@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import embedding_dedup, exact_dedup, mixing, pii
+from siltstone.llm import embedding_dedup, exact_dedup, mixing, packing, pii
 from siltstone.llm.scratch import table
 
 
@@ -75,6 +76,11 @@ LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.digest(table(spark, sf_dir, "documents"), path)
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_packing": op6_packing,
     "op10_pii_spans": op10_pii_spans,
 }
 SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3, "op4_embedding_dedup": SQL_4}

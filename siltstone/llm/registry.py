@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import embedding_dedup, exact_dedup, mixing, packing, pii
+from siltstone.llm import embedding_dedup, exact_dedup, mixing, packing, pii, toxicity
 from siltstone.llm.scratch import table
 
 
@@ -76,6 +76,10 @@ LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.digest(table(spark, sf_dir, "documents"), path)
@@ -89,6 +93,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op10_pii_spans": op10_pii_spans,
 }

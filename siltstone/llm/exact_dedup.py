@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def misra_gries(counters: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
         for batch in batches:
-            for x in pa.compute.value_counts(batch.column(0)).to_pylist():
+            for x in pc.value_counts(batch.column(0)).to_pylist():
                 held[x["values"]] = held.get(x["values"], 0) + x["counts"]
             if len(held) > counters:
                 # the mergeable form: take the (counters + 1)-th count off all

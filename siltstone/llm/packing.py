@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def _cutter(path: str, longest: int, end: int):
         numbered = np.zeros(longest.bit_length(), np.int64)
         encode = encoder(path).encode
         for batch in batches:
-            lengths = np.array(pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0))
+            lengths = np.array(pc.fill_null(pc.utf8_length(batch.column("text")), 0))
             cuts = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(lengths) // SLICE]))
             for a, b in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=True):
                 rows = batch.slice(a, b - a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import embedding_dedup, exact_dedup, mixing, packing, pii, quality, toxicity
+from siltstone.llm import embedding_dedup, exact_dedup, langid, mixing, packing, pii, quality, toxicity
 from siltstone.llm.scratch import table
 
 
@@ -89,6 +89,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op9_language_id": op9_language_id,
     "op10_pii_spans": op10_pii_spans,
 }
 SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3, "op4_embedding_dedup": SQL_4}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import embedding_dedup, exact_dedup, langid, mixing, packing, pii, quality, toxicity
+from siltstone.llm import embedding_dedup, exact_dedup, langid, mixing, packing, pii, quality, token_counts, toxicity
 from siltstone.llm.scratch import table
 
 
@@ -22,6 +22,11 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_lines(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_toxicity": op5_toxicity,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import embedding_dedup, exact_dedup, langid, mixing, packing, pii, quality, token_counts, toxicity
+from siltstone.llm import embedding_dedup, exact_dedup, langid, mixing, ngram_join, packing, pii, quality, token_counts, toxicity
 from siltstone.llm.scratch import table
 
 
@@ -94,6 +94,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents")).drop("row", "stays")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_pii_spans": op10_pii_spans,
 }

@@ -157,8 +157,8 @@ def _signatures(total: np.ndarray, percent: int) -> Callable:
                     ):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("key"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                    names=["key", "n", "h1", "h2", "tokens", "point"],
+                    [rows.column("key"), rows.column("mark"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
+                    names=["key", "mark", "n", "h1", "h2", "tokens", "point"],
                 )
 
     return run
@@ -333,14 +333,14 @@ def _solve(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, and the row's number in ``row``."""
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    """One row per row of ``docs``: key, n_shingles, component_id; stays, whether the id is the component's, and mark, a hash of the text."""
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
     kind = dict(texts.dtypes)["key"]
     counts = texts.select("text").mapInArrow(_group_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << ORDER_BITS, np.int64)
     total[np.array(counts.column("part"))] = np.array(counts.column("n"))
     seen = written(
-        texts.mapInArrow(_signatures(total, percent), f"key {kind}, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
+        texts.mapInArrow(_signatures(total, percent), f"key {kind}, mark long, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "signatures",
@@ -400,14 +400,13 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         found = written(dense.unionByName(_solve(inner.unionByName(crossed), percent)), "linked")
     linked = connected_components(found).select(F.col("node").alias("cls"), F.col("component").alias("part"))
     placed = classes.select(*same, "cls", "least").join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    names = placed.groupBy("part").agg(F.min("least").alias("name"), F.min("cls").alias("first"))
-    named = placed.join(names, "part").select(*same, "name", "first")
-    return seen.select("key", "row", *same).join(named, same, "left").select(
+    names = placed.groupBy("part").agg(F.min("least").alias("name"))
+    named = placed.join(names, "part").select(*same, "name")
+    return seen.select("key", "mark", *same).join(named, same, "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("name", "key").alias("component_id"),
-        "row",
-        # the row that stands for its component: the one with the least id
+        "mark",
         F.coalesce("name", "key").eqNullSafe(F.col("key")).alias("stays"),
     )
 
@@ -415,10 +414,8 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with the least id of their component, with all their columns.
 
-    Of rows that repeat that id, those with its text stay together.
+    Rows that repeat that id and its text stay together.
     """
-    gone = components(docs, text, key, percent).filter("NOT stays").select(F.col(key).alias("gone")).distinct()
-    rows = docs.select(F.col(key).alias("key"), as_row(docs).alias("row"))
-    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
-
-
+    gone = components(docs, text, key, percent).filter("NOT stays").select(F.col(key).alias("gone"), "mark").distinct()
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), as_row(docs).alias("row"))
+    return rows.join(gone, F.col("key").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("mark")), "left_anti").select("row.*")

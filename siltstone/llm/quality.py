@@ -168,6 +168,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     return rows.mapInArrow(_scored(model), f"row struct<key:{kind}>, score double").select(F.col("row.key").alias(key), "score")
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column(text), "")
+            for a, b in _slices(texts) if batch.num_rows else ():
+                p = model.score(*passages.encode(texts.slice(a, b - a).to_pylist()))
+                yield batch.slice(a, b - a).filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of all documents by a model that never saw the labels of the held-out fold."""
     known = one_label(labels, "doc_id", "quality").filter(fold(F.col("key"), folds) != held_out)

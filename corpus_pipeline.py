@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, mixing, ngram_join, packing, quality
 from siltstone.llm.sampling import fold, one_label
-from siltstone.llm.scratch import table, written
+from siltstone.scratch import table, written
 
 #: Labels of this fold of crc32(doc_id) are left out of training, as in the query of the operator.
 FOLDS, HELD_OUT = 5, 0

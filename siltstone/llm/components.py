@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import remove, written
+from siltstone.scratch import remove, written
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
-from siltstone.llm.scratch import written
+from siltstone.scratch import written
 
 THRESHOLD = 0.98
 TABLES = 4

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import as_row, written
+from siltstone.scratch import as_row, written
 
 #: A digest is heavy when it has at least this share of all rows.
 HEAVY_SHARE = 1 / 2048

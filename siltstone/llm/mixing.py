@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import as_row, prefix_sums, written
+from siltstone.scratch import as_row, prefix_sums, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3

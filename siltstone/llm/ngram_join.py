@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
-from siltstone.llm.scratch import as_row, written
+from siltstone.scratch import as_row, written
 from siltstone.llm.shingles import mixed, shingle_sets
 
 PERCENT = 80

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import written
+from siltstone.scratch import written
 from siltstone.llm.wordids import encoder
 
 LENGTH = 2048

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import written
+from siltstone.scratch import written
 
 #: In the order of ties. [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+;
 #: [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+); [0-9]([\x20-]?[0-9])+, of which single

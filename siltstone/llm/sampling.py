@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.scratch import written
+from siltstone.scratch import written
 
 
 def fold(key: Column, folds: int) -> Column:

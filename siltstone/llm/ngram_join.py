@@ -57,7 +57,7 @@ MEETING = 1024
 BLOCK = 2048
 #: Shingles of a block's sets: 32 MB.
 BLOCK_SHINGLES = 4_000_000
-SLICE = 4_000_000
+SLICE = 1_500_000
 
 
 def need(a, b, percent: int = PERCENT):
@@ -365,19 +365,24 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     )
     pointed = met.join(classes.select("cls", "point"), "cls").repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
     edges = written(pointed.mapInArrow(_met(percent), "a long, b long, token long"), "met")
-    led = edges.filter("token IS NOT NULL").select("token", "a")
-    crossing = led.join(led.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b")
-    shards = connected_components(edges.filter("token IS NULL").select("a", "b").unionByName(crossing))
+    bound = edges.filter("token IS NULL").select("a", "b")
+    if (total > heavy).any():
+        led = edges.filter("token IS NOT NULL").select("token", "a")
+        bound = bound.unionByName(led.join(led.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b"))
+    shards = connected_components(bound)
     wanted = shards.select(F.col("node").alias("cls"), F.col("component").alias("shard")).join(classes.select("cls", "key", "h1", "h2"), "cls")
     asked = wanted.select(F.col("key").alias("asked"), "cls", "shard", "h1", "h2")
     joined = texts.join(asked, texts["key"].eqNullSafe(asked["asked"])).select("text", "cls", "shard", "h1", "h2")
     # rows that repeat an id and its text give a set twice
     sets = written(joined.mapInArrow(_sets, "cls long, shard long, n long, members binary"), "sets")
-    weight = sets.groupBy("shard").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    sized = written(sets.join(weight, "shard"), "sized")
-    found = written(_solve(sized.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")), percent), "linked")
-    large = sized.filter("blocks > 1")
-    if not large.isEmpty():
+    limits = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    weight = written(sets.groupBy("shard").agg(limits.alias("blocks")).filter("blocks > 1"), "large")
+    if weight.isEmpty():
+        found = written(_solve(sets.select("*", F.lit(1).alias("side"), F.lit(0).cast("long").alias("block")), percent), "linked")
+    else:
+        sized = written(sets.join(weight, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "sized")
+        found = _solve(sized.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")), percent)
+        large = sized.filter("blocks > 1")
         again = _solve(large.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("blocks")).alias("block")), percent)
         dense = written(found.unionByName(again), "linked")
         parts = connected_components(dense).select(F.col("node").alias("cls"), F.col("component").alias("part"))
@@ -386,7 +391,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         largest = sizes.groupBy("shard").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
         outer = placed.join(largest, "shard").filter("part <> largest")
         # those outside of the largest part, in blocks of their own, against all blocks
-        outer_blocks = outer.groupBy("shard").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("outer_blocks"))
+        outer_blocks = outer.groupBy("shard").agg(limits.alias("outer_blocks"))
         inner = (
             placed.join(outer_blocks, "shard")
             .select("*", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer_blocks") - 1)).alias("y"))

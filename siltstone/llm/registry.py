@@ -98,6 +98,28 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents")).drop("mark", "stays")
 
 
+SQL_8 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE l.b > r.root)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id
+FROM documents JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = documents.doc_id
+LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -118,4 +140,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_pii_spans": op10_pii_spans,
 }
-SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3, "op4_embedding_dedup": SQL_4}
+SQL = {"op1_exact_dedup": SQL_1, "op3_source_mix": SQL_3, "op4_embedding_dedup": SQL_4, "op8_ngram_join": SQL_8}

@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.scratch import written
 from siltstone.llm.wordids import encoder
 
 LENGTH = 2048
 END = 1
 #: Characters that are encoded at once.
-SLICE = 8_000_000
+SLICE = 2_000_000
 
 
 def decompose(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +104,7 @@ def cut(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id"
         raise ValueError("the longest piece must be a power of two")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(rows.dtypes)["key"]
-    return rows.mapInArrow(_cutter(tokenizer, longest, end), f"key {kind}, start long, length long, doc_tokens long, ids binary, part long, nth long")
+    return rows.transform(by_bytes).mapInArrow(_cutter(tokenizer, longest, end), f"key {kind}, start long, length long, doc_tokens long, ids binary, part long, nth long")
 
 
 def number(pieces: DataFrame) -> DataFrame:

@@ -10,14 +10,18 @@ than once per occurrence.
 from __future__ import annotations
 
 import itertools
+import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words, and ids of words, beyond which a worker forgets and starts anew; about 150 MB.
-KEPT = 500_000
-KEPT_IDS = 4_000_000
+#: Words, and ids of words, beyond which a worker forgets and starts anew; about 100 MB.
+KEPT = 400_000
+KEPT_IDS = 3_000_000
+#: Words that are encoded at once.
+TOGETHER = 4096
 #: A word of plain letters, and the punctuation after it, which is split off
 #: before merging. None of these can join in a contraction such as 's.
 WORD_AND_MARKS = r"^(?P<word>[a-zß-öø-ÿ]+)(?P<marks>[.,!|#%&*$]+)$"
@@ -27,6 +31,7 @@ _loaded: dict[str, WordEncoder] = {}
 
 class WordEncoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +56,9 @@ class WordEncoder:
         """Where each word's ids are; merges those that aren't known."""
         new = [w for w in words if w not in self.place]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            found = []
+            for a in range(0, len(new), TOGETHER):  # an encoding takes some kB, its ids a few bytes
+                found += [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(new[a : a + TOGETHER], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             n, end = len(self.place), self.used + int(sizes.sum())
             self._room(n + len(new), end)

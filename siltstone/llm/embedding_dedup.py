@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.llm.components import connected_components
 from siltstone.scratch import written
 
@@ -239,7 +240,7 @@ def near_duplicates(
     )
     kinds = dict(classes.dtypes)
     hashed = written(
-        classes.select("node", F.col("same.label").cast("string").alias("label"), "copies", "dim", "vector").mapInArrow(
+        classes.select("node", F.col("same.label").cast("string").alias("label"), "copies", "dim", "vector").transform(by_bytes).mapInArrow(
             _hashed, f"node long, label string, copies long, dim int, vector {kinds['vector']}, codes array<bigint>"
         ),
         "codes",
@@ -261,7 +262,7 @@ def near_duplicates(
         # rows of a diagonal group carry mixed = false, those of a crossing one true
         .select(F.concat(F.xxhash64("spot", "pair").cast("string"), F.xxhash64(F.lit(7), "spot", "pair").cast("string")).alias("cell"), "node", "copies", "dim", "vector", "codes", "table", "bucket", "salt", "mixed")
     )
-    found = written(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(threshold), "node long, links long, root long"), "links")
+    found = written(dealt.repartition("cell").sortWithinPartitions("cell").transform(by_bytes).mapInArrow(_compared(threshold), "node long, links long, root long"), "links")
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     judged = (

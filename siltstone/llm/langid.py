@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.llm.sampling import fold, sample_per_class, sampled_texts
 
 #: Documents of each language in the sample, and the longest of them.
@@ -46,7 +47,7 @@ STRETCH = 60
 #: Share of right results that the accepted ones shall reach on the calibration part.
 ACCEPTED_RIGHT = 0.995
 UNKNOWN = "und"
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 @cache
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     """The model from ``labelled`` (key, label), of which at most PER_LANGUAGE rows a language are used."""
     sample = sampled_texts(docs, sample_per_class(labelled, PER_LANGUAGE), text, key)
     texts = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("label", "half", "text")
-    rows = texts.mapInArrow(_bags, "label string, half long, buckets binary, counts binary").toArrow().to_pylist()
+    rows = texts.transform(by_bytes).mapInArrow(_bags, "label string, half long, buckets binary, counts binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["label"], r["buckets"], r["counts"]))  # whatever order they came in
     languages = sorted({r["label"] for r in rows})
     if not languages:
@@ -226,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
     rows = docs.select(F.struct(F.col(key).alias("key")).alias("row"), whole)
-    out = rows.mapInArrow(_predicted(model), f"row struct<key:{kind}>, lang string, score double")
+    out = rows.transform(by_bytes).mapInArrow(_predicted(model), f"row struct<key:{kind}>, lang string, score double")
     return out.select(F.col("row.key").alias(key), F.col("lang").alias("lang_pred"), "score", (F.col("score") < model.reject_below).alias("rejected"))
 
 

@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.llm.components import connected_components
 from siltstone.scratch import as_row, written
 from siltstone.llm.shingles import mixed, shingle_sets
@@ -54,10 +55,12 @@ COARSE, FINE = 64, 1024
 #: Classes of a tree's leaf; of a shingle, and of a block, that are held at once.
 LEAF = 64
 MEETING = 1024
+#: Rows of a larger group that are held at once; it is chained part by part.
+PART = 100_000
 BLOCK = 2048
 #: Shingles of a block's sets: 32 MB.
 BLOCK_SHINGLES = 4_000_000
-SLICE = 1_500_000
+SLICE = 500_000
 
 
 def need(a, b, percent: int = PERCENT):
@@ -164,8 +167,12 @@ def _signatures(total: np.ndarray, percent: int) -> Callable:
     return run
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, about ``rows`` rows each, of batches sorted by ``keys``."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups, about ``rows`` rows each, of batches sorted by ``keys``.
+
+    A group of more than ``most`` rows comes in parts, each of which begins with
+    the last row of the one before.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -181,6 +188,11 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) ->
         if cut:
             yield whole.slice(0, cut)
             held = whole.slice(cut).combine_chunks().to_batches()
+        elif most and whole.num_rows > most:
+            yield whole
+            held = whole.slice(whole.num_rows - 1).combine_chunks().to_batches()
+        else:
+            held = whole.to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -222,14 +234,14 @@ def _met(percent: int) -> Callable:
     small = 24
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups_of(batches, ["token", "salt"], 20_000):
+        for t in groups_of(batches, ["token", "salt"], min(20_000, PART), PART):
             starts, sizes = runs(t, ["token", "salt"])
             cls, n = np.array(t.column("cls")), np.array(t.column("n"))
             raw = t.column("point").chunk(0).to_pylist()
             fine = [np.frombuffer(x, "<u4") for x in raw]
             coarse = np.stack([folded(x, COARSE.bit_length() - 1) for x in fine]).astype(np.int32)
             salted = np.array(t.column("salts"))[starts] > 1
-            free = salted | (sizes > MEETING)
+            free = salted | (np.array(t.column("many"))[starts] > MEETING)
             i, j = _pairs(starts[(sizes <= small) & ~free], sizes[(sizes <= small) & ~free])
             ok = need(n[i], n[j], percent) <= np.minimum(n[i], n[j])
             i, j = i[ok], j[ok]
@@ -329,18 +341,18 @@ def _linked(percent: int) -> Callable:
 def _solve(dealt: DataFrame, percent: int) -> DataFrame:
     """dealt: shard, block, side, cls, members; side 2 against side 2 is left out."""
     rows = dealt.select("shard", "block", "side", "cls", "members").repartition("shard", "block").sortWithinPartitions("shard", "block", "cls")
-    return rows.mapInArrow(_linked(percent), "a long, b long")
+    return rows.transform(by_bytes).mapInArrow(_linked(percent), "a long, b long")
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id; stays, whether the id is the component's, and mark, a hash of the text."""
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
     kind = dict(texts.dtypes)["key"]
-    counts = texts.select("text").mapInArrow(_group_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    counts = texts.select("text").transform(by_bytes).mapInArrow(_group_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << ORDER_BITS, np.int64)
     total[np.array(counts.column("part"))] = np.array(counts.column("n"))
     seen = written(
-        texts.mapInArrow(_signatures(total, percent), f"key {kind}, mark long, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
+        texts.transform(by_bytes).mapInArrow(_signatures(total, percent), f"key {kind}, mark long, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "signatures",
@@ -361,10 +373,9 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
         .withColumn("many", F.count("*").over(Window.partitionBy("token", "salt")))
         .filter("many > 1 OR salts > 1")
-        .drop("many")
     )
     pointed = met.join(classes.select("cls", "point"), "cls").repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
-    edges = written(pointed.mapInArrow(_met(percent), "a long, b long, token long"), "met")
+    edges = written(pointed.transform(by_bytes).mapInArrow(_met(percent), "a long, b long, token long"), "met")
     bound = edges.filter("token IS NULL").select("a", "b")
     if (total > heavy).any():
         led = edges.filter("token IS NOT NULL").select("token", "a")
@@ -374,7 +385,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     asked = wanted.select(F.col("key").alias("asked"), "cls", "shard", "h1", "h2")
     joined = texts.join(asked, texts["key"].eqNullSafe(asked["asked"])).select("text", "cls", "shard", "h1", "h2")
     # rows that repeat an id and its text give a set twice
-    sets = written(joined.mapInArrow(_sets, "cls long, shard long, n long, members binary"), "sets")
+    sets = written(joined.transform(by_bytes).mapInArrow(_sets, "cls long, shard long, n long, members binary"), "sets")
     limits = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     weight = written(sets.groupBy("shard").agg(limits.alias("blocks")).filter("blocks > 1"), "large")
     if weight.isEmpty():

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.llm import passages
 from siltstone.llm.sampling import fold, one_label, sample_per_class, sampled_texts
 
@@ -36,7 +37,7 @@ EPOCHS = 80
 BATCH = 256
 THRESHOLD = 0.3
 #: Characters that are encoded at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 @dataclass
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     """The model from ``labelled`` (key, label), of which at most PER_CLASS rows a class are used."""
     sample = sampled_texts(docs, sample_per_class(labelled, PER_CLASS), text, key)
     bags = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("text", F.col("label").cast("int").alias("label"))
-    rows = bags.mapInArrow(_encoded, "label int, bag binary").toArrow()
+    rows = bags.transform(by_bytes).mapInArrow(_encoded, "label int, bag binary").toArrow()
     y = np.array([float(x > 0) for x in rows.column("label").to_pylist()])
     if not len(y) or y.min() == y.max():
         return constant((y.sum() + 1) / (len(y) + 2))
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     whole = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.struct(F.col(key).alias("key")).alias("row"), whole)
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
-    return rows.mapInArrow(_scored(model), f"row struct<key:{kind}>, score double").select(F.col("row.key").alias(key), "score")
+    return rows.transform(by_bytes).mapInArrow(_scored(model), f"row struct<key:{kind}>, score double").select(F.col("row.key").alias(key), "score")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -178,7 +179,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
                 p = model.score(*passages.encode(texts.slice(a, b - a).to_pylist()))
                 yield batch.slice(a, b - a).filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(by_bytes).mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:

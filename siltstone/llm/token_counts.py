@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
+
 _loaded: dict[tuple[str, str], tuple[Callable[[str], list[int]], np.ndarray]] = {}
 SCHEMA = "key {kind}, section int, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -142,7 +144,7 @@ def _counter(path: str, pattern: str, rule: str, lines: bool):
 def count_lines(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", key: str = "doc_id", rule: str = "most") -> DataFrame:
     """One row per line of each document: the id, section, start, end, n_tokens, n_crossing, doc_tokens."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(_counter(tokenizer, pattern, rule, True), SCHEMA.format(kind=dict(rows.dtypes)["key"]))
+    out = rows.transform(by_bytes).mapInArrow(_counter(tokenizer, pattern, rule, True), SCHEMA.format(kind=dict(rows.dtypes)["key"]))
     return out.drop("name").withColumnRenamed("key", key)
 
 
@@ -153,5 +155,5 @@ def count_spans(docs: DataFrame, spans: str, tokenizer: str, pattern: str, text:
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.col(spans).cast("array<struct<name:string,start:bigint,end:bigint>>").alias("spans"),
     )
-    out = rows.mapInArrow(_counter(tokenizer, pattern, rule, False), SCHEMA.format(kind=dict(rows.dtypes)["key"]))
+    out = rows.transform(by_bytes).mapInArrow(_counter(tokenizer, pattern, rule, False), SCHEMA.format(kind=dict(rows.dtypes)["key"]))
     return out.withColumnRenamed("key", key)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.batches import by_bytes
 from siltstone.llm.sampling import fold, one_label, sample_per_class, sampled_texts
 
 #: Labelled documents of each class in the sample that the lexicon and curve are learned from.
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     for r in found.groupBy((F.col("label") > 0).alias("toxic")).count().collect():
         sizes[int(r["toxic"])] = r["count"]
     counts = (
-        found.mapInArrow(_counts, "stem string, toxic long, clean long")
+        found.transform(by_bytes).mapInArrow(_counts, "stem string, toxic long, clean long")
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter(F.col("toxic") * (sizes[1] + sizes[0]) > (F.col("toxic") + F.col("clean")) * sizes[1] * 1.5)
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     )
     top = counts.orderBy(F.desc(F.col("toxic") - F.col("clean") * (sizes[1] / max(1, sizes[0]))), "stem").limit(10 * LARGEST_LEXICON)
     model = Model(choose([(r["stem"], r["toxic"], r["clean"]) for r in top.collect()], sizes[1], sizes[0]), exceptions)
-    rows = sample.filter("half = 1").select("text", "label").mapInArrow(_features(model), "label int, a double, b double, c double").collect()
+    rows = sample.filter("half = 1").select("text", "label").transform(by_bytes).mapInArrow(_features(model), "label int, a double, b double, c double").collect()
     if rows:
         x = np.array([[r["a"], r["b"], r["c"]] for r in rows])
         model.curve = tuple(logistic(x, np.array([float(r["label"] > 0) for r in rows])))
@@ -224,7 +225,7 @@ def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, w = Matcher(model), np.array(model.curve)
         for batch in batches:
-            rows = np.array([matcher.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            rows = np.array([matcher.features(t.as_py()) for t in batch.column("text")]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(w[0] + rows @ w[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
@@ -235,7 +236,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """One row per document: the id and its score from 0 to 1."""
     rows = docs.select(F.struct(F.col(key).alias("key")).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
-    return rows.mapInArrow(_scored(model), f"row struct<key:{kind}>, score double").select(F.col("row.key").alias(key), "score")
+    return rows.transform(by_bytes).mapInArrow(_scored(model), f"row struct<key:{kind}>, score double").select(F.col("row.key").alias(key), "score")
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:

@@ -46,8 +46,10 @@ LOOSE = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": r"(?<![\p{L}])(?:[Nn]ame is|[Nn]amed|Mr\.?|Mrs\.?|Ms\.?|Dr\.?) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
 }
-#: A text without a match of these has none of the pattern's either.
-TRIGGER = {"email": "@", "phone": "+", "loose_email": "at"}
+#: A text that doesn't contain these has no match of the pattern either.
+TRIGGER = {"email": "@", "phone": "+"}
+#: The same for loose_email, whose letters may be of either case: a part that each match holds.
+BRACKETED_AT = r"(?i)[\[(] ?at ?[\])]"
 KINDS = [*BASE, "secret", "ssn", "iban", "name"]
 SHOWN = {"loose_email": "email", "loose_phone": "phone"}
 LABELERS = ("format", "gazetteer", "before", "edges", "variety")
@@ -110,8 +112,9 @@ def candidates(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
             F.transform(left, lambda s: F.struct(F.length(s).alias("skip"), F.right(s, F.lit(BEFORE)).alias("before"), F.left(s, F.lit(1)).alias("first"))).alias("left"),
             F.regexp_extract_all(x, p, F.lit(0)).alias("match"),
         )
+        may_match = x.rlike(BRACKETED_AT) if name == "loose_email" else F.contains(x, F.lit(TRIGGER[name])) if name in TRIGGER else F.lit(True)
         # the last entry has no match; it is needed only for what follows the last but one
-        return F.when(F.contains(x, F.lit(TRIGGER[name])) if name in TRIGGER else F.lit(True), F.when(F.size(left) > 1, zipped))
+        return F.when(may_match, F.when(F.size(left) > 1, zipped))
 
     bare = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), whole.alias("x"))
     seen = written(bare.select("row", "key", *(found(name, F.col("x")).alias(name) for name in patterns)), "matches")

@@ -39,6 +39,12 @@ TEXTS = [
 ]
 
 
+def placed(docs, kind):
+    """The matches of a pattern; ``row`` is the document's id."""
+    rows, found = pii.candidates(docs, "text", "doc_id")
+    return found.filter(found["kind"] == kind).join(rows, "row").drop("row").withColumnRenamed("key", "row").collect()
+
+
 def test_base_spans(spark, edge):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
     for rows in (docs, edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
@@ -62,6 +68,15 @@ def test_method_adds(spark):
     assert sum("secret:" in v for v in out.values()) >= 35 and out[99] == ""
 
 
+def test_upper_case_address(spark):
+    texts = ["SALES [AT] ACME [DOT] COM", "WRITE TO Bob.X (At) Some-Firm (dOt) Co (DOT) UK NOW", "sales [at] acme [dot] com", "[AT] [DOT]"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(texts[r["row"]], r["start"], r["end"]) for r in placed(docs, "loose_email")}
+    assert found == {(texts[0], 0, 25), (texts[1], 9, 47), (texts[2], 0, 25)}
+    many = spark.createDataFrame([(k, f"MORE FROM S{k}LES [AT] ACME [DOT] COM") for k in range(40)], "doc_id long, text string")
+    assert all(r["spans"].startswith("email:10:") for r in pii.report(many).collect())
+
+
 def test_edges(edge, empty):
     assert pii.report(edge).count() == edge.count() and pii.report(empty).count() == 0
 

@@ -77,6 +77,12 @@ def test_upper_case_address(spark):
     assert all(r["spans"].startswith("email:10:") for r in pii.report(many).collect())
 
 
+def test_long_secret(spark):
+    docs = spark.createDataFrame([(k, f"word {k} token = \"{k:032x}\" and more") for k in range(40)] + [(99, "key: password=" + "aB3/x" * 200 + " end")], "doc_id long, text string")
+    assert [(r["start"], r["end"]) for r in placed(docs.filter("doc_id = 99"), "secret")] == [(5, 1014)]
+    assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}[99] == "secret:5:1014"
+
+
 def test_edges(edge, empty):
     assert pii.report(edge).count() == edge.count() and pii.report(empty).count() == 0
 

@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
@@ -39,6 +39,8 @@ SHORTEST_WORD = 3
 LARGEST_LEXICON = 2000
 #: Least G statistic of a stem. About 2 ln(number of stems), beyond which chance reaches none.
 SIGNIFICANCE = 25.0
+#: Least ratio of a stem's share of the toxic documents to its share of the clean ones, whatever the classes' sizes.
+LEAST_RATIO = 1.5
 THRESHOLD = 0.7
 
 #: Look-alikes outside of what decomposition gives, and signs used for letters.
@@ -143,6 +145,13 @@ def significance(t: int, c: int, toxic: int, clean: int) -> float:
     return g
 
 
+def _significance(toxic: int, clean: int) -> Column:
+    """The same of the columns toxic and clean, for stems that are toxic."""
+    t, c = F.col("toxic"), F.col("clean")
+    cells = ((t, t + c, toxic), (c, t + c, clean), (toxic - t, toxic + clean - t - c, toxic), (clean - c, toxic + clean - t - c, clean))
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen * float(toxic + clean) / (row * column))).otherwise(0.0) for seen, row, column in cells), F.lit(0.0))
+
+
 class Matcher:
     def __init__(self, model: Model):
         import ahocorasick
@@ -209,10 +218,11 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
         found.transform(by_bytes).mapInArrow(_counts, "stem string, toxic long, clean long")
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") * (sizes[1] + sizes[0]) > (F.col("toxic") + F.col("clean")) * sizes[1] * 1.5)
+        .filter(F.col("toxic") * sizes[0] > F.col("clean") * sizes[1] * LEAST_RATIO)
         .filter("toxic >= 3")
     )
-    top = counts.orderBy(F.desc(F.col("toxic") - F.col("clean") * (sizes[1] / max(1, sizes[0]))), "stem").limit(10 * LARGEST_LEXICON)
+    # in the order in which they are chosen, so that the limit takes the least significant
+    top = counts.orderBy(F.desc(_significance(sizes[1], sizes[0])), F.length("stem"), "stem").limit(10 * LARGEST_LEXICON)
     model = Model(choose([(r["stem"], r["toxic"], r["clean"]) for r in top.collect()], sizes[1], sizes[0]), exceptions)
     rows = sample.filter("half = 1").select("text", "label").transform(by_bytes).mapInArrow(_features(model), "label int, a double, b double, c double").collect()
     if rows:

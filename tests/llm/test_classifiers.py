@@ -78,6 +78,25 @@ def test_toxicity(tables, edge, empty):
     assert toxicity.score(docs, nothing).agg(F.max("score")).first()[0] < 0.01
 
 
+@pytest.mark.parametrize("clean", [600, 300, 60])
+def test_stems_whatever_the_class_mix(spark, clean):
+    """grobnik is in toxic documents only, murky in twice as large a share of them as of the clean ones."""
+    rows = [(k, " ".join(["some plain words"] + ["murky"] * (k % 10 < 6) + ["grobnik"] * (k % 3 < 2)), 1) for k in range(600)]
+    rows += [(1000 + k, " ".join(["some plain words"] + ["murky"] * (k % 10 < 3)), 0) for k in range(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, one_label(docs, "doc_id", "toxic"))
+    assert any(" grobnik ".startswith(s) for s in model.lexicon) and not any(" plain ".startswith(s) for s in model.lexicon)
+    if clean > 100:  # with fewer it is below significance
+        assert any(" murky ".startswith(s) for s in model.lexicon)
+
+
+def test_significance_of_columns(spark):
+    rows = [("a", 30, 0), ("b", 20, 10), ("c", 40, 60), ("d", 3, 0)]
+    got = spark.createDataFrame(rows, "stem string, toxic long, clean long").select("stem", toxicity._significance(40, 60).alias("g")).collect()
+    for (_, t, c), r in zip(rows, sorted(got), strict=True):
+        assert r["g"] == pytest.approx(toxicity.significance(t, c, 40, 60), abs=1e-9)
+
+
 def test_folding():
     assert toxicity.folded("ÎDIÓT") == " idiot " and toxicity.folded("іdіоt") == " idiot "  # Cyrillic letters
     assert toxicity.folded("1d10t") == " idiot " and toxicity.folded("in 2001!") == " in       "

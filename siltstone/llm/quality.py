@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
 from siltstone.llm import passages
-from siltstone.llm.sampling import fold, one_label, sample_per_class, sampled_texts
+from siltstone.llm.sampling import fold, one_label, prior_shift, sample_per_class, sampled_texts
 
 #: Labelled documents of each class that training uses at most, and the longest of them.
 PER_CLASS = 2500
@@ -132,7 +132,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(a, b - a)
             x, many = passages.encode(rows.column("text").to_pylist())
             bags = [v.astype("<f4").tobytes() for v in np.split(x, np.cumsum(many)[:-1])]
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"])
+            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("weight"), pa.array(bags, pa.binary())], names=["label", "weight", "bag"])
 
 
 def _scored(model: Model):
@@ -149,8 +149,8 @@ def _scored(model: Model):
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The model from ``labelled`` (key, label), of which at most PER_CLASS rows a class are used."""
     sample = sampled_texts(docs, sample_per_class(labelled, PER_CLASS), text, key)
-    bags = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("text", F.col("label").cast("int").alias("label"))
-    rows = bags.transform(by_bytes).mapInArrow(_encoded, "label int, bag binary").toArrow()
+    bags = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("text", F.col("label").cast("int").alias("label"), "weight")
+    rows = bags.transform(by_bytes).mapInArrow(_encoded, "label int, weight double, bag binary").toArrow()
     y = np.array([float(x > 0) for x in rows.column("label").to_pylist()])
     if not len(y) or y.min() == y.max():
         return constant((y.sum() + 1) / (len(y) + 2))
@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     # the order in which executors answer must not matter
     order = sorted(range(len(y)), key=lambda i: (y[i], data[i].tobytes()))
     many = np.array([len(data[i]) for i in order])
-    return train(np.concatenate([data[i] for i in order]).astype(float), many, y[order])
+    model = train(np.concatenate([data[i] for i in order]).astype(float), many, y[order])
+    model.shift = prior_shift(y > 0, np.array(rows.column("weight")))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ def fold(key: Column, folds: int) -> Column:
 def sample_per_class(labelled: DataFrame, per_class: int, seed: int = 1) -> DataFrame:
     """At most ``per_class`` rows of each class of ``labelled`` (key, label), those of least hash.
 
-    The rows come with ``half``, 0 or 1, which splits the sample for two uses.
+    The rows come with ``half``, 0 or 1, which splits the sample for two uses, and
+    ``weight``, the number of labelled rows of the class for each one in the sample.
     Classes with more rows are first thinned by hash where they lie, so that no
     class meets in one task as a whole.
     """
@@ -27,11 +29,18 @@ def sample_per_class(labelled: DataFrame, per_class: int, seed: int = 1) -> Data
     thin = hashed.join(counts, "label").filter((F.col("hash") / 2.0**64 + 0.5) < limit)
     best = Window.partitionBy("label").orderBy("hash", "key")
     picked = thin.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class)
-    return written(picked.select("key", "label", F.pmod("hash", F.lit(2)).alias("half")), "sample")
+    return written(picked.select("key", "label", F.pmod("hash", F.lit(2)).alias("half"), F.greatest(F.lit(1.0), F.col("n") / per_class).alias("weight")), "sample")
+
+
+def prior_shift(positive: np.ndarray, weight: np.ndarray) -> float:
+    """What a log odds learned from rows of a sample lacks: that of all labelled rows less the sample's."""
+    if positive.all() or not positive.any():
+        return 0.0
+    return float(np.log(weight[positive].mean() / weight[~positive].mean()))
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame, text: str, key: str) -> DataFrame:
-    """The documents of the sample: key, text, label, half. The sample is bounded and is broadcast."""
+    """The documents of the sample: key, text, label, half, weight. The sample is bounded and is broadcast."""
     return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(
         F.broadcast(sample), "key"
     )

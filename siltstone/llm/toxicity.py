@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
-from siltstone.llm.sampling import fold, one_label, sample_per_class, sampled_texts
+from siltstone.llm.sampling import fold, one_label, prior_shift, sample_per_class, sampled_texts
 
 #: Labelled documents of each class in the sample that the lexicon and curve are learned from.
 PER_CLASS = 4000
@@ -187,7 +187,7 @@ def _features(model: Model):
         matcher = Matcher(model)
         for batch in batches:
             rows = np.array([matcher.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(rows[:, k]) for k in range(3))], names=["label", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), *(pa.array(rows[:, k]) for k in range(3))], names=["label", "weight", "a", "b", "c"])
 
     return run
 
@@ -224,10 +224,12 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
     # in the order in which they are chosen, so that the limit takes the least significant
     top = counts.orderBy(F.desc(_significance(sizes[1], sizes[0])), F.length("stem"), "stem").limit(10 * LARGEST_LEXICON)
     model = Model(choose([(r["stem"], r["toxic"], r["clean"]) for r in top.collect()], sizes[1], sizes[0]), exceptions)
-    rows = sample.filter("half = 1").select("text", "label").transform(by_bytes).mapInArrow(_features(model), "label int, a double, b double, c double").collect()
+    rows = sample.filter("half = 1").select("text", "label", "weight").transform(by_bytes).mapInArrow(_features(model), "label int, weight double, a double, b double, c double").collect()
     if rows:
         x = np.array([[r["a"], r["b"], r["c"]] for r in rows])
-        model.curve = tuple(logistic(x, np.array([float(r["label"] > 0) for r in rows])))
+        toxic = np.array([r["label"] > 0 for r in rows])
+        bias, *slopes = logistic(x, toxic.astype(float))
+        model.curve = (bias + prior_shift(toxic, np.array([r["weight"] for r in rows])), *slopes)
     return model
 
 

@@ -144,5 +144,16 @@ def test_sample(spark):
     assert spark.range(30).filter(fold(F.col("id"), 3) == 1).count() == sum(zlib.crc32(str(k).encode()) % 3 == 1 for k in range(30))
 
 
+@pytest.mark.parametrize("share", [0.1, 0.9])
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_capped_classes_keep_their_odds(spark, monkeypatch, module, share):
+    """Where texts tell nothing, the score is the class's share of all labels, not of the sample."""
+    monkeypatch.setattr(module, "PER_CLASS", 40)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("the same words everywhere").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 < int(10 * share)).cast("int").alias("x"))
+    model = module.fit(docs, one_label(labels, "doc_id", "x"))
+    assert module.score(docs, model).agg(F.max("score")).first()[0] == pytest.approx(share, abs=0.05)
+
+
 def test_registry():
     assert set(registry.SQL) <= set(registry.QUERIES) and {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}

@@ -345,7 +345,7 @@ def _solve(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id; stays, whether the id is the component's, and mark, a hash of the text."""
+    """One row per row of ``docs``: key, n_shingles, component_id; stays, whether the id is the component's, mark, a hash of the text, and part, which tells components apart and is null without shingles."""
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
     kind = dict(texts.dtypes)["key"]
     counts = texts.select("text").transform(by_bytes).mapInArrow(_group_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
@@ -417,21 +417,37 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     linked = connected_components(found).select(F.col("node").alias("cls"), F.col("component").alias("part"))
     placed = classes.select(*same, "cls", "least").join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     names = placed.groupBy("part").agg(F.min("least").alias("name"))
-    named = placed.join(names, "part").select(*same, "name")
+    named = placed.join(names, "part").select(*same, "name", "part")
     return seen.select("key", "mark", *same).join(named, same, "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("name", "key").alias("component_id"),
         "mark",
         F.coalesce("name", "key").eqNullSafe(F.col("key")).alias("stays"),
+        "part",
     )
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns.
+    """One row of ``docs`` of each component, of the least id, with all its columns.
 
-    Rows that repeat that id and its text stay together.
+    Ids come before nulls. Of several texts of that id the one of least hash
+    stays, and of rows that repeat the id and the text any one. Rows without a
+    shingle are in no component and all stay.
     """
-    gone = components(docs, text, key, percent).filter("NOT stays").select(F.col(key).alias("gone"), "mark").distinct()
+    judged = written(components(docs, text, key, percent).select(F.col(key).alias("gone"), "mark", "stays", "part"), "judged")
+    staying = judged.filter("stays AND part IS NOT NULL")
+    ties = written(staying.groupBy("part").agg(F.min("mark").alias("first"), F.count("*").alias("many")).filter("many > 1"), "ties")
+    gone, repeated = judged.filter("NOT stays").select("gone", "mark"), None
+    if not ties.isEmpty():
+        tied = staying.join(ties, "part")
+        gone = gone.unionByName(tied.filter("mark <> first").select("gone", "mark"))
+        repeated = tied.filter("mark = first").groupBy("gone", "mark").count().filter("count > 1")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), as_row(docs).alias("row"))
-    return rows.join(gone, F.col("key").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("mark")), "left_anti").select("row.*")
+    same = lambda marks: F.col("key").eqNullSafe(marks["gone"]) & (F.col("hash") == marks["mark"])
+    gone = gone.distinct()
+    kept = rows.join(gone, same(gone), "left_anti")
+    if repeated is None:
+        return kept.select("row.*")
+    once = kept.join(repeated, same(repeated), "left_semi").groupBy("key", "hash").agg(F.first("row").alias("row"))
+    return kept.join(repeated, same(repeated), "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -56,6 +56,15 @@ def test_one_of_each(corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, c in brute(rows) if i == c)
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    near = lambda stem: [" ".join(f"{stem}{k}" for k in range(60)) + end for end in ("", " more", " other")]
+    rows = [(None, t) for t in near("a")] + [(7, t) for t in near("b")] + [(8, near("c")[0])] * 3 + [(None, near("d")[0])] * 3
+    rows += [(None, near("e")[0]), (9, near("e")[1]), (9, near("e")[2]), (7, near("f")[0])] + [(None, None)] * 2 + [(None, "")] * 2 + [(5, " ")] * 2
+    kept = j.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    named = sorted((r["text"][0], r["doc_id"]) for r in kept if (r["text"] or "").strip())
+    assert named == [("a", None), ("b", 7), ("c", 8), ("d", None), ("e", 9), ("f", 7)] and len(kept) == 6 + 6
+
+
 def test_empty(empty):
     assert j.components(empty).count() == 0 and j.one_of_each(empty).count() == 0
 

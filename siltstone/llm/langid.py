@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
-from siltstone.llm.sampling import fold, sample_per_class, sampled_texts
+from siltstone.llm.sampling import bounded, fold, sample_per_class, sampled_texts
 
-#: Documents of each language in the sample, and the longest of them.
+#: Documents of each language in the sample, and the characters that are learned from each at most.
 PER_LANGUAGE = 800
 LONGEST_TRAINING_TEXT = 20_000
 ORDERS = (2, 3, 4)
@@ -190,7 +190,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The model from ``labelled`` (key, label), of which at most PER_LANGUAGE rows a language are used."""
     sample = sampled_texts(docs, sample_per_class(labelled, PER_LANGUAGE), text, key)
-    texts = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("label", "half", "text")
+    texts = sample.select("label", "half", bounded(F.col("text"), LONGEST_TRAINING_TEXT).alias("text"))
     rows = texts.transform(by_bytes).mapInArrow(_bags, "label string, half long, buckets binary, counts binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["label"], r["buckets"], r["counts"]))  # whatever order they came in
     languages = sorted({r["label"] for r in rows})

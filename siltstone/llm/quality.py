@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
 from siltstone.llm import passages
-from siltstone.llm.sampling import fold, one_label, prior_shift, sample_per_class, sampled_texts
+from siltstone.llm.sampling import bounded, fold, one_label, prior_shift, sample_per_class, sampled_texts
 
-#: Labelled documents of each class that training uses at most, and the longest of them.
+#: Labelled documents of each class that training uses at most, and the characters of each at most.
 PER_CLASS = 2500
 LONGEST_TRAINING_TEXT = 100_000
 HIDDEN = 32
@@ -149,7 +149,7 @@ def _scored(model: Model):
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The model from ``labelled`` (key, label), of which at most PER_CLASS rows a class are used."""
     sample = sampled_texts(docs, sample_per_class(labelled, PER_CLASS), text, key)
-    bags = sample.filter(F.length("text") <= LONGEST_TRAINING_TEXT).select("text", F.col("label").cast("int").alias("label"), "weight")
+    bags = sample.select(bounded(F.col("text"), LONGEST_TRAINING_TEXT).alias("text"), F.col("label").cast("int").alias("label"), "weight")
     rows = bags.transform(by_bytes).mapInArrow(_encoded, "label int, weight double, bag binary").toArrow()
     y = np.array([float(x > 0) for x in rows.column("label").to_pylist()])
     if not len(y) or y.min() == y.max():

@@ -46,6 +46,14 @@ def sampled_texts(docs: DataFrame, sample: DataFrame, text: str, key: str) -> Da
     )
 
 
+def bounded(text: Column, longest: int, stretches: int = 4) -> Column:
+    """The text, or of one of more than ``longest`` characters that many at most, in stretches spread over all of it."""
+    size = (longest - stretches + 1) // stretches
+    last = F.length(text) - size
+    parts = [F.substring(text, (F.floor(last * k / (stretches - 1)) + 1).cast("int"), F.lit(size)) for k in range(stretches)]
+    return F.when(F.length(text) <= longest, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def one_label(labels: DataFrame, key: str, label: str) -> DataFrame:
     """key, label; of several labels of an id the largest, rows with a null left out."""
     some = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())

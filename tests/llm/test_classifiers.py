@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, passages, quality, registry, toxicity
-from siltstone.llm.sampling import fold, one_label, sample_per_class
+from siltstone.llm.sampling import bounded, fold, one_label, sample_per_class
 
 from llm_data import labelled
 
@@ -155,5 +155,23 @@ def test_capped_classes_keep_their_odds(spark, monkeypatch, module, share):
     assert module.score(docs, model).agg(F.max("score")).first()[0] == pytest.approx(share, abs=0.05)
 
 
+def test_classes_of_long_texts_are_learned(tables, monkeypatch):
+    docs, labels = tables
+    for module in (langid, quality):
+        monkeypatch.setattr(module, "LONGEST_TRAINING_TEXT", 2500)
+    repeated = lambda rows: F.when(rows, F.repeat("text", F.lit(60))).otherwise(F.substring("text", 1, 2000))
+    out = langid.report(docs.withColumn("text", repeated(F.col("lang") == "es"))).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    good = docs.join(labels.select("doc_id", "quality"), "doc_id").withColumn("text", repeated(F.col("quality") == 1))
+    assert share_right(quality.report(good, labels), labels, "quality") > 0.95
+
+
+def test_bounded(spark):
+    texts = ["", "short", "x" * 40, "".join(chr(0x4E00 + k) for k in range(41)), "".join(chr(0x4E00 + k) for k in range(1000))]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(bounded(F.col("t"), 40)).collect()]
+    assert got[:3] == texts[:3] and all(len(x) <= 40 and x[0] == t[0] and x[-1] == t[-1] for x, t in zip(got[3:], texts[3:], strict=True))
+    assert all(part in texts[4] for part in got[4].split(" ")) and len(got[4].split(" ")) == 4
+
+
 def test_registry():
     assert set(registry.SQL) <= set(registry.QUERIES) and {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}

@@ -14,13 +14,16 @@ Tokens that touch no section are counted under a null section.
 Everything happens where the document lies; nothing is shuffled.
 
 Defined results: a null text counts as empty; an empty text has one empty line
-with no token. Null or empty lists of spans leave all tokens outside. Documents
-that repeat an id are counted one by one. An empty table gives an empty result.
+with no token. A very long text is encoded whole, whatever its runs of blanks.
+Null or empty lists of spans leave all tokens outside. Documents that repeat an
+id, or have none, are counted one by one. Other columns are never looked at, so
+their names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
 
+#: Runs of the matcher's white space that are encoded by themselves, and the part of a pattern that asks for it.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+PEEKS_AFTER_BLANKS = r"\s+(?!\S)"
+
 _loaded: dict[tuple[str, str], tuple[Callable[[str], list[int]], np.ndarray]] = {}
 SCHEMA = "key {kind}, section int, name string, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
 
@@ -44,10 +51,30 @@ def byte_encoder(path: str, pattern: str) -> tuple[Callable[[str], list[int]], n
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, k in ranks.items():
             sizes[k] = len(token)
-        _loaded[path, pattern] = (tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, sizes)
+        plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _loaded[path, pattern] = (lambda text: encode_whole(plain, text), sizes)
     return _loaded[path, pattern]
 
 
+def encode_whole(plain, text: str) -> list[int]:
+    """The ids of a text, with long runs of white space taken out of the pattern's hands.
+
+    The library's matcher keeps a state per blank, as the pattern looks ahead
+    after a run, and gives up on some hundred thousand. A run is one piece to the
+    pattern, without its last blank if something follows; pieces are encoded
+    independently of each other, so encoding the piece by itself gives the same ids.
+    """
+    if not (PEEKS_AFTER_BLANKS in plain._pat_str and (found := LONG_BLANKS.search(text))):
+        return plain.encode_ordinary(text)
+    out, at = [], 0
+    while found:
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        out += plain.encode_ordinary(text[at : found.start()]) + plain._encode_single_piece(text[found.start() : end])
+        at = end
+        found = LONG_BLANKS.search(text, at)
+    return out + plain.encode_ordinary(text[at:])
+
+
 def spans_of(text: str, ids: list[int], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first character of each token and the one after its last."""
     data = np.frombuffer(text.encode(), np.uint8)

@@ -39,12 +39,12 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}+)++",
+    "loose_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[a-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]++)++",
     "loose_phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "secret": r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) ?[=:] ?[\"']?[a-z0-9_/+-]{16,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "name": r"(?<![\p{L}])(?:[Nn]ame is|[Nn]amed|Mr\.?|Mrs\.?|Ms\.?|Dr\.?) \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?(?!\p{L})",
+    "name": r"(?<![\p{L}])(?:[Nn]ame is|[Nn]amed|Mr\.?|Mrs\.?|Ms\.?|Dr\.?) \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?(?!\p{L})",
 }
 #: A text that doesn't contain these has no match of the pattern either.
 TRIGGER = {"email": "@", "phone": "+"}

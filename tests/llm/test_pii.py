@@ -93,3 +93,23 @@ def test_reliabilities():
     assert 0.3 < prior < 0.7 and post[1, 1, 1, -1, 1] > 0.9 > 0.1 > post[-1, -1, 0, 1, -1]
     assert given[0][1][1] > given[3][1][1]  # the labeler that disagrees is found less reliable
     assert pii.reliabilities({})[2] == {} and pytest.approx(0.5) == pii.reliabilities({})[0]
+
+
+LONG = {
+    "loose_email": ("x" * 300 + " [at] " + "y" * 200 + " [dot] " + "z" * 90, 0, None),
+    "loose_phone": ("at (555) 123-4567 now", 3, 17),
+    "secret": ("api_key: " + "a1" * 400, 0, None),
+    "ssn": ("no 078-05-1120.", 3, 14),
+    "iban": ("to DE89 3704 0044 0532 0130 00 please", 3, 30),
+    "name": ("my name is Ann" + "a" * 70 + " Li" + "e" * 80 + ".", 3, 167),
+}
+
+
+@pytest.mark.parametrize("kind", list(pii.LOOSE))
+def test_loose_kinds(spark, kind):
+    """Each loose pattern finds its match whole, whatever its length, and nothing in plain words."""
+    text, start, end = LONG[kind]
+    docs = spark.createDataFrame([(1, text), (2, "plain words, 12 of them"), (3, None), (4, "é " + text)], "doc_id long, text string")
+    got = {r["row"]: (r["start"], r["end"]) for r in placed(docs, kind)}
+    end = len(text) if end is None else end
+    assert got == {1: (start, end), 4: (start + 2, end + 2)}

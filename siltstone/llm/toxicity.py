@@ -9,9 +9,15 @@ phrase doesn't count. The weights found in a document, by themselves and
 relative to its length, go through a logistic curve that is fitted on the other
 half of the sample.
 
+Exception phrases are a list of the user's and what the sample shows: a matched
+word with a neighbour that goes with clean documents beyond chance.
+
 Defined results: a null text counts as empty, and an empty text gets the score
-of a document without a match. Rows with equal ids are scored one by one. An
-empty table gives an empty result; without labels every score is next to 0.
+of a document without a match; a very long text is matched whole. Rows with
+equal ids are scored one by one; a null id is scored like any other, and is in
+the fold of the empty string. Other columns are never looked at, so their names
+don't matter. An empty table gives an empty result; without labels every score
+is next to 0.
 """
 
 from __future__ import annotations
@@ -36,7 +42,6 @@ PER_CLASS = 4000
 #: Lengths of word beginnings that may become stems; whole words up to the last count too.
 STEMS = (4, 5, 6, 7, 8, 12)
 SHORTEST_WORD = 3
-LARGEST_LEXICON = 2000
 #: Least G statistic of a stem. About 2 ln(number of stems), beyond which chance reaches none.
 SIGNIFICANCE = 25.0
 #: Least ratio of a stem's share of the toxic documents to its share of the clean ones, whatever the classes' sizes.
@@ -122,14 +127,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Stems by falling significance, none inside another, with smoothed log odds."""
+    """The significant stems by falling significance, none inside another, with smoothed log odds."""
     lexicon: dict[str, float] = {}
+    inner: set[str] = set()  # what the chosen stems begin with
     ranked = [(significance(t, c, toxic, clean), stem, t, c) for stem, t, c in rows]
     for g, stem, t, c in sorted(ranked, key=lambda r: (-r[0], len(r[1]), r[1])):
-        if g < SIGNIFICANCE or len(lexicon) >= LARGEST_LEXICON:
+        if g < SIGNIFICANCE:
             break
-        if not any(stem.startswith(s) or s.startswith(stem.rstrip()) for s in lexicon):
+        if stem.rstrip() not in inner and not any(stem[:n] in lexicon for n in range(2, len(stem) + 1)):
             lexicon[stem] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+            inner.update(stem[:n] for n in range(2, len(stem) + 1))
     return lexicon
 
 
@@ -165,16 +172,26 @@ class Matcher:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Found weight, weight a hundred words, both by log1p, and the distinct stems."""
+    def hits(self, x: str) -> list[tuple[int, int, float]]:
+        """The matches (start, end, weight) of lexicon stems in a folded text that lie in no exception phrase."""
         if not len(self.automaton):
-            return 0.0, 0.0, 0.0
-        x = folded(text)
+            return []
         hits, safe = [], []
         for end, (size, weight) in self.automaton.iter(x):
             (hits if weight else safe).append((end + 1 - size, end + 1, weight))
-        if safe:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b + 1 for a, b, _ in safe)]
+        if safe and hits:
+            # matches come by their ends; of the phrases that end at or after a match's end the earliest start decides
+            starts = np.array([a for a, _, _ in safe])
+            ends = np.array([b for _, b, _ in safe])
+            earliest = np.minimum.accumulate(starts[::-1])[::-1]
+            at = np.searchsorted(ends, [b - 1 for _, b, _ in hits])
+            hits = [h for h, k in zip(hits, at, strict=True) if k == len(ends) or earliest[k] > h[0]]
+        return hits
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Found weight, weight a hundred words, both by log1p, and the distinct stems."""
+        x = folded(text)
+        hits = self.hits(x)
         if not hits:
             return 0.0, 0.0, 0.0
         whole = sum(h[2] for h in hits)
@@ -182,6 +199,40 @@ class Matcher:
         return math.log1p(whole), math.log1p(100 * whole / words), math.log1p(len({x[a:b] for a, b, _ in hits}))
 
 
+def _phrases(model: Model):
+    """How many toxic and clean texts have each match with the word before or after it; and each matched word alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model)
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                x = folded(text)
+                seen = set()
+                for a, _, _ in matcher.hits(x):
+                    word = x[a + 1 : x.index(" ", a + 1)]
+                    before, after = x[:a].split()[-1:] if a < 200 else x[a - 200 : a].split()[-1:], x[a + 1 + len(word) : a + 200].split()[:1]
+                    seen |= {(word, word)} | {(word, f"{w} {word}") for w in before} | {(word, f"{word} {w}") for w in after}
+                held[int(label > 0)].update(seen)
+        names = list(held[0] | held[1])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([n[k] for n in names], pa.string()) for k in (0, 1)), *(pa.array([held[k][n] for n in names], pa.int64()) for k in (1, 0))],
+            names=["word", "phrase", "toxic", "clean"],
+        )
+
+    return run
+
+
+def learned_exceptions(found: DataFrame, model: Model, sizes: dict[int, int]) -> tuple[str, ...]:
+    """Phrases with a word that the lexicon matches that go with clean texts, beyond chance among the texts that have the word."""
+    if not model.lexicon:
+        return ()
+    counts = found.transform(by_bytes).mapInArrow(_phrases(model), "word string, phrase string, toxic long, clean long").groupBy("word", "phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    words = counts.filter("word = phrase").select("word", F.col("toxic").alias("all_toxic"), F.col("clean").alias("all_clean"))
+    likely = counts.filter("word <> phrase AND clean >= 3").join(words, "word").collect()  # of the bounded sample's matches
+    return tuple(sorted(r["phrase"] for r in likely if significance(r["clean"], r["toxic"], r["all_clean"], r["all_toxic"]) >= SIGNIFICANCE))
+
+
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
@@ -219,11 +270,10 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "do
         .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter(F.col("toxic") * sizes[0] > F.col("clean") * sizes[1] * LEAST_RATIO)
-        .filter("toxic >= 3")
+        .filter(_significance(sizes[1], sizes[0]) >= SIGNIFICANCE)  # few reach it, whatever the sample holds
     )
-    # in the order in which they are chosen, so that the limit takes the least significant
-    top = counts.orderBy(F.desc(_significance(sizes[1], sizes[0])), F.length("stem"), "stem").limit(10 * LARGEST_LEXICON)
-    model = Model(choose([(r["stem"], r["toxic"], r["clean"]) for r in top.collect()], sizes[1], sizes[0]), exceptions)
+    model = Model(choose([(r["stem"], r["toxic"], r["clean"]) for r in counts.collect()], sizes[1], sizes[0]), exceptions)
+    model.exceptions += learned_exceptions(found, model, sizes)
     rows = sample.filter("half = 1").select("text", "label", "weight").transform(by_bytes).mapInArrow(_features(model), "label int, weight double, a double, b double, c double").collect()
     if rows:
         x = np.array([[r["a"], r["b"], r["c"]] for r in rows])

@@ -13,7 +13,8 @@ shuffle of note, so a source with a third of all rows is one row per task.
 The targets need the sources in order of size / weight; that order is global
 but dealt by range (see ``prefix_sums``).
 
-Defined results: a null text has size 0; a null source is a source of its own;
+Defined results: a null text has size 0, a very long one is counted whole; a
+null source is a source of its own;
 a source of size 0 has target and rate 0; ids need not be unique: rows with the
 same id draw the same number, a null id draws as the empty string. An empty
 table gives an empty result. Other columns are untouched, whatever their names.
@@ -38,6 +39,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def product(a: str, b: str) -> Column:
+    """Exact: a corpus' words times its sources' weights may leave 64 bits."""
+    return F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(18,0)")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target and rate, from rows of source and size."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -62,12 +68,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         filling.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(weight))  # one row each
         .withColumn("money", F.col("whole") - F.col("capped"))
         .withColumn("left", F.col("all_weights") - F.col("passed"))
-        .withColumn("above", F.col("cap") * F.col("left") >= F.col("weight") * F.col("money"))
+        .withColumn("above", product("cap", "left") >= product("weight", "money"))
     )
     # The first source that its share does not lift above its cap sets the level.
     first = level.filter("above").agg(F.min_by(F.struct("money", "left"), F.struct("passed", "capped")).alias("level"))
-    share = F.col("weight") * F.col("level.money") / F.col("level.left")
-    target = F.when(F.col("level").isNull() | (F.col("cap") * F.col("level.left") < F.col("weight") * F.col("level.money")), F.col("cap").cast("double")).otherwise(share)
+    share = product("weight", "level.money").cast("double") / F.col("level.left")
+    target = F.when(F.col("level").isNull() | (product("cap", "level.left") < product("weight", "level.money")), F.col("cap").cast("double")).otherwise(share)
     return (
         weighted.crossJoin(F.broadcast(first))
         .withColumn("target", target)

@@ -10,7 +10,11 @@ BYTES = 4 * 1024 * 1024
 
 
 def by_bytes(df: DataFrame) -> DataFrame:
-    """``df`` unchanged; from here on its session cuts batches by BYTES unless it was told a limit."""
+    """``df`` unchanged; from here on its session cuts batches by BYTES unless it was told a limit.
+
+    Batches are cut when a plan runs, which is after the caller has got it, so the
+    setting can't be taken back. A session that sets a limit of its own keeps it.
+    """
     conf = df.sparkSession.conf
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) is None:

@@ -1,7 +1,7 @@
 """Token ids of whole texts for a word-wise BPE, by way of the distinct words.
 
-For tokenizers that drop white space and split it off before anything else, a
-text's ids are the ids of its white-space-separated chunks one after another. A
+For tokenizers that drop white space and split it off before anything else (by
+what their file says; others get whole texts), a text's ids are the ids of its white-space-separated chunks one after another. A
 batch's chunks are made distinct first, and the ids of words are kept from batch
 to batch within a bound, so a frequent word is merged once per worker rather
 than once per occurrence.
@@ -10,6 +10,7 @@ than once per occurrence.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 from array import array
 
@@ -26,6 +27,18 @@ TOGETHER = 4096
 #: before merging. None of these can join in a contraction such as 's.
 WORD_AND_MARKS = r"^(?P<word>[a-zß-öø-ÿ]+)(?P<marks>[.,!|#%&*$]+)$"
 
+#: What a tokenizer's file says (fixed values) if it lower-cases, drops white space and splits it off before merging.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -35,6 +48,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            told = json.load(f)
+        #: Whether ids are those of lower-cased chunks one after another; else texts are encoded as they are.
+        self.is_wordwise = {k: told[k] for k in WORDWISE} == WORDWISE and not any(t["normalized"] for t in told["added_tokens"])
         self.forget()
 
     def forget(self) -> None:
@@ -71,6 +88,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids. A null counts as empty."""
+        if not self.is_wordwise:
+            found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         bounds = chunks.offsets.to_numpy().astype(np.int64)
         coded = chunks.flatten().dictionary_encode()

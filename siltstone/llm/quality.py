@@ -8,9 +8,11 @@ have labels, so the attention is learned from them. Training is plain numpy on
 the driver, on a bounded sample.
 
 Defined results: a null text counts as empty; an empty text is one empty
-passage. Rows with equal ids are scored one by one. An empty table gives an
-empty result. With labels of one class only, or none, the score is that class's
-smoothed share.
+passage; a very long one is encoded whole, in as many passages as it takes.
+Rows with equal ids are scored one by one; a null id is scored like any other,
+and is in the fold of the empty string. Other columns are never looked at, so
+their names don't matter. An empty table gives an empty result. With labels of
+one class only, or none, the score is that class's smoothed share.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
 from siltstone.llm import passages
-from siltstone.llm.sampling import bounded, fold, one_label, prior_shift, sample_per_class, sampled_texts
+from siltstone.llm.sampling import fold, one_label, prior_shift, sample_per_class, sampled_texts
 
-#: Labelled documents of each class that training uses at most, and the characters of each at most.
+#: Labelled documents of each class that training uses at most, and the characters of each at most:
+#: 5,000 bags of up to 64 passages, 140 MB on the driver as 32-bit numbers.
 PER_CLASS = 2500
-LONGEST_TRAINING_TEXT = 100_000
+LONGEST_TRAINING_TEXT = 32_000
 HIDDEN = 32
 GATES = 16
 EPOCHS = 80
@@ -90,10 +93,11 @@ def train(x: np.ndarray, many: np.ndarray, y: np.ndarray, seed: int = 3, epochs:
     """Adam on bags x (passages, in order), many (passages of each bag), y (0 or 1)."""
     rng = np.random.default_rng(seed)
     width = x.shape[1]
-    mean, spread = x.mean(0), x.std(0) + 1e-3
+    mean = x.mean(0, dtype=float)
+    square = sum((np.square(x[a : a + 65_536] - mean).sum(0) for a in range(0, len(x), 65_536)), np.zeros(width))
+    spread = np.sqrt(square / max(1, len(x))) + 1e-3
     shapes = {"W": (width, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATES), "U": (HIDDEN, GATES), "a": (GATES,), "c": (HIDDEN,), "d": ()}
     model = Model(mean, spread, {k: rng.normal(0, 1 / np.sqrt(max(1, s[0] if s else 1)), s) if k not in "bd" else np.zeros(s) for k, s in shapes.items()})
-    x = model.normalise(x)
     starts = np.cumsum(many) - many
     m = {k: np.zeros(s) for k, s in shapes.items()}
     v = {k: np.zeros(s) for k, s in shapes.items()}
@@ -104,7 +108,7 @@ def train(x: np.ndarray, many: np.ndarray, y: np.ndarray, seed: int = 3, epochs:
             bags = order[at : at + BATCH]
             count = many[bags]
             rows = np.repeat(starts[bags] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            g = gradients(model, x[rows], count, y[bags], decay)
+            g = gradients(model, model.normalise(x[rows]), count, y[bags], decay)
             step += 1
             for k in g:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -148,18 +152,22 @@ def _scored(model: Model):
 
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The model from ``labelled`` (key, label), of which at most PER_CLASS rows a class are used."""
-    sample = sampled_texts(docs, sample_per_class(labelled, PER_CLASS), text, key)
-    bags = sample.select(bounded(F.col("text"), LONGEST_TRAINING_TEXT).alias("text"), F.col("label").cast("int").alias("label"), "weight")
+    sample = sampled_texts(docs, sample_per_class(labelled, PER_CLASS), text, key, LONGEST_TRAINING_TEXT)
+    bags = sample.select("text", F.col("label").cast("int").alias("label"), "weight")
     rows = bags.transform(by_bytes).mapInArrow(_encoded, "label int, weight double, bag binary").toArrow()
     y = np.array([float(x > 0) for x in rows.column("label").to_pylist()])
     if not len(y) or y.min() == y.max():
         return constant((y.sum() + 1) / (len(y) + 2))
-    data = [np.frombuffer(b, "<f4").reshape(-1, passages.WIDTH) for b in rows.column("bag").to_pylist()]
+    shift = prior_shift(y > 0, np.array(rows.column("weight")))
+    data = rows.column("bag").to_pylist()
+    del rows
     # the order in which executors answer must not matter
-    order = sorted(range(len(y)), key=lambda i: (y[i], data[i].tobytes()))
-    many = np.array([len(data[i]) for i in order])
-    model = train(np.concatenate([data[i] for i in order]).astype(float), many, y[order])
-    model.shift = prior_shift(y > 0, np.array(rows.column("weight")))
+    order = sorted(range(len(y)), key=lambda i: (y[i], data[i]))
+    many = np.array([len(data[i]) // (4 * passages.WIDTH) for i in order])
+    x = np.frombuffer(b"".join(data[i] for i in order), "<f4").reshape(-1, passages.WIDTH)
+    del data
+    model = train(x, many, y[order])
+    model.shift = shift
     return model
 
 

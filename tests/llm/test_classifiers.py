@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, passages, quality, registry, toxicity
-from siltstone.llm.sampling import bounded, fold, one_label, sample_per_class
+from siltstone.llm import langid, passages, quality, registry, sampling, toxicity
+from siltstone.llm.sampling import bounded, fold, one_label, sample_per_class, sampled_texts
 
 from llm_data import labelled
 
@@ -173,5 +173,114 @@ def test_bounded(spark):
     assert all(part in texts[4] for part in got[4].split(" ")) and len(got[4].split(" ")) == 4
 
 
+def naive_features(model, text):
+    """What the matcher should find, by looking for every stem and phrase at every place."""
+    x = toxicity.folded(text)
+    safe = [(k, k + len(f)) for p in model.exceptions for f in [toxicity.folded(p)] for k in range(len(x)) if x.startswith(f, k)]
+    hits = [(k, k + len(s), w) for s, w in model.lexicon.items() for k in range(len(x)) if x.startswith(s, k)]
+    hits = [h for h in hits if not any(a <= h[0] and h[1] <= b + 1 for a, b in safe)]
+    if not hits:
+        return 0.0, 0.0, 0.0
+    whole = sum(h[2] for h in hits)
+    return np.log1p(whole), np.log1p(100 * whole / max(1, len(x.split()))), np.log1p(len({x[a:b] for a, b, _ in hits}))
+
+
+def test_matches_against_naive_search(spark):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model({" bad": 2.0, " vile ": 3.0, " rott": 1.5, " clown ": 1.0}, ("vile weed", "circus clown", "bad hair day", "not rotten"), (0.0, 1.0, 1.0, 1.0))
+    words = ["bad", "b4d", "BÁD", "vile", "weed", "circus", "clown", "hair", "day", "rotten", "not", "plain", "badge", "v!le", "7", "vi1e", "ваd"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(150)] + ["", "bad", "circus clown"]
+    matcher = toxicity.Matcher(model)
+    for t in texts:
+        assert matcher.features(t) == pytest.approx(naive_features(model, t))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        assert score[k] == pytest.approx(1 / (1 + np.exp(-sum(naive_features(model, t)))))
+    assert score[999] == 0.5
+
+
+def test_exceptions_are_learned(spark):
+    """A word that is harmless beside another one; no phrase of it is on the list."""
+    rows = [(k, "some plain words " + ("you grobnik" if k % 3 else "so grobnik it is"), 1) for k in range(300)]
+    rows += [(1000 + k, "some plain words " + ("the grobnik valley" if k % 5 == 0 else "of nothing"), 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, one_label(docs, "doc_id", "toxic"), exceptions=())
+    assert "grobnik valley" in model.exceptions and "you grobnik" not in model.exceptions
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert min(score[k] for k in range(300)) > 0.7 > 0.3 > max(score[1000 + k] for k in range(600))
+
+
+def test_quality_scores_against_plain_loops(tables):
+    """Each document by itself: passages, attention and score in plain loops."""
+    docs, labels = tables
+    model = quality.fit(docs, one_label(labels, "doc_id", "quality"))
+    w = model.w
+    some = docs.limit(30).collect()
+    found = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for r in some:
+        text = r["text"]
+        parts = [text[k : k + passages.PASSAGE] for k in range(0, max(1, len(text)), passages.PASSAGE)]
+        weights, hidden = [], []
+        for k, part in enumerate(parts):
+            x = passages.encode([part])[0][0].astype(float)
+            h = np.maximum(((x - model.mean) / model.spread) @ w["W"] + w["b"], 0)
+            weights.append(np.exp((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]))
+            hidden.append(h)
+        z = sum(a * h for a, h in zip(weights, hidden, strict=True)) / sum(weights)
+        assert found[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-(z @ w["c"] + w["d"] + model.shift))), abs=1e-6)
+
+
+def test_language_scores_against_plain_loops(tables):
+    docs, _ = tables
+    model = langid.fit(docs, docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("label")))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    for r in docs.limit(20).collect():
+        buckets = np.concatenate([b for _, b in langid.subwords([r["text"]])[0]])
+        z = np.array([np.mean([model.logits[j][b] for b in buckets]) for j in range(len(model.languages))]) + model.bias
+        p = langid.softmax(z[None] / model.temperature)[0]
+        assert found[r["doc_id"]] == (model.languages[p.argmax()], pytest.approx(p.max()))
+
+
+@pytest.mark.parametrize("module", [toxicity, quality, langid])
+def test_reports_on_edges(edge, empty, module):
+    """Null, empty, long and repeated rows and clashing names, in the table that is learned from as well."""
+    if module is langid:
+        assert langid.report(edge).count() == edge.count() and langid.report(empty).count() == 0
+        assert langid.report(edge).columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+        return
+    column = "toxic" if module is toxicity else "quality"
+    labels = edge.select("doc_id", (F.col("doc_id") % 2).cast("int").alias(column))
+    for l in (labels, labels.limit(0), labels.withColumn(column, F.lit(None).cast("int")), labels.withColumn(column, F.lit(1))):
+        out = module.report(edge, l)
+        assert out.count() == edge.count() == out.filter("score BETWEEN 0 AND 1").count()
+    assert module.report(empty, labels).count() == 0 and out.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_sample_of_repeated_ids_and_many_classes(spark, monkeypatch):
+    docs = spark.range(4000).select((F.col("id") % 7).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = one_label(docs, "doc_id", "lang")
+    texts = sampled_texts(docs, sample_per_class(labels, 5), "text", "doc_id")
+    assert texts.count() == 5 and texts.select("key").distinct().count() == 5
+    monkeypatch.setattr(sampling, "MOST_CLASSES", 3)
+    monkeypatch.setattr(sampling, "ROWS", 30)
+    rows = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") < 1000, 0).otherwise(F.floor(F.col("id") / 100)).alias("label"))
+    got = {r["label"]: r["count"] for r in sample_per_class(rows, 80).groupBy("label").count().collect()}
+    assert got == {0: 10, 10: 10, 11: 10}
+
+
+def test_no_class_is_shuffled_whole(spark):
+    """What is ranked has been thinned before: the plan has no exchange by label of all rows."""
+    rows = spark.range(100_000).select(F.col("id").alias("key"), (F.col("id") % 2).alias("label"))
+    sizes = []
+    monitor = sampling.written
+    try:
+        sampling.written = lambda df, name: sizes.append((name, (out := monitor(df, name)).count())) or out
+        assert sample_per_class(rows, 100).count() == 200
+    finally:
+        sampling.written = monitor
+    assert dict(sizes)["thinned"] < 1000
+
+
 def test_registry():
     assert set(registry.SQL) <= set(registry.QUERIES) and {n.split("_")[0] for n in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}

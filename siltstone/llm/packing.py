@@ -6,12 +6,15 @@ sequence length (Pouransari et al., "Dataset Decomposition", 2024). Each piece
 is a sequence by itself; those of equal length form a bucket, whose sequences
 are numbered without gaps. So no sequence crosses documents and none is padded.
 
-One pass over the texts and no shuffle: a task numbers its pieces of each length,
-and a table with one row per task and length (12 lengths) gives the numbers at
-which each task begins.
-
-Defined results: a null or empty text has one token, the end token. Documents
-that repeat an id are packed one by one. An empty table gives an empty result.
+One pass over the texts and no shuffle of tokens: a task numbers its pieces of
+each length, and a table with one row per task (of 12 numbers at most) says
+where each task begins. That table is summed by range, not in one task, and is
+broadcast only if its rows are counted to be few.
+
+Defined results: a null or empty text has one token, the end token; a very long
+one is encoded whole, SLICE characters or one text at a time. Documents that
+repeat an id, or have none, are packed one by one. Other columns are never
+looked at, so their names don't matter. An empty table gives an empty result.
 Numbers follow the order of the input's partitions, so they are the same again
 for an input that is split alike.
 """
@@ -24,17 +27,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
-from siltstone.scratch import written
 from siltstone.llm.wordids import encoder
+from siltstone.scratch import prefix_sums, written
 
 LENGTH = 2048
 END = 1
 #: Characters that are encoded at once.
 SLICE = 2_000_000
+#: Tasks up to which their table (some 300 bytes a row) is broadcast; beyond it the join is left to the planner.
+BROADCAST_TASKS = 200_000
 
 
 def decompose(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,22 +115,28 @@ def cut(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id"
 def number(pieces: DataFrame) -> DataFrame:
     """Written ``pieces`` with sequence_id and offset in place of part and nth."""
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    begun = prefix_sums(counts, [F.desc("length"), F.col("part")], {"first": F.col("n")}, "begun")
+    by_task = written(begun.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("firsts")), "begun-by-task")
+    if by_task.count() <= BROADCAST_TASKS:
+        by_task = F.broadcast(by_task)
     return (
-        pieces.join(F.broadcast(first), ["length", "part"])  # a row per task and length
-        .withColumn("sequence_id", F.col("first") + F.col("nth"))
+        pieces.join(by_task, "part")
+        .withColumn("sequence_id", F.col("firsts")[F.col("length")] + F.col("nth"))
         .withColumn("offset", F.lit(0).cast("long"))
-        .drop("first", "part", "nth")
+        .drop("firsts", "part", "nth")
     )
 
 
+def _in_order(pieces: DataFrame, key: str, ids: str) -> DataFrame:
+    return pieces.select(F.col("key").alias(key), "start", "length", ids, "doc_tokens", "sequence_id", "offset")
+
+
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", longest: int = LENGTH, end: int = END) -> DataFrame:
     """One row per piece, with its token ids and its place."""
-    return number(written(cut(docs, tokenizer, text, key, longest, end), "pieces")).withColumnRenamed("key", key)
+    return _in_order(number(written(cut(docs, tokenizer, text, key, longest, end), "pieces")), key, "ids")
 
 
 def digest(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", longest: int = LENGTH, end: int = END) -> DataFrame:
     """As :func:`pack`, with the CRC-32 of the ids in place of the ids."""
     pieces = cut(docs, tokenizer, text, key, longest, end).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return number(written(pieces, "pieces")).withColumnRenamed("key", key)
+    return _in_order(number(written(pieces, "pieces")), key, "ids_crc32")

@@ -107,3 +107,49 @@ def test_rule():
     assert to.tolist() == [0, 0, 1, 2] and crossing.tolist() == [False, True, True, False]
     to, _ = token_counts.attribute(a([0, 3]), a([1, 5]), a([1, 1, 4]), a([1, 3, 6]))
     assert to.tolist() == [-1, 2]
+
+
+def test_long_blanks():
+    """Runs of blanks that the library's matcher can't take; equal to the plain tokenizer at a size it survives."""
+    encode, sizes = token_counts.byte_encoder(RANKS, P.PATTERN)
+    import base64
+
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for blank in (" ", "\n", "\u3000", " \n\t", "\x85", "\u2028 "):
+        run = (blank * 60_000)[:60_000]
+        for text in (run, "a" + run, run + "a", f"a b{run}c's  d{run}\n{run}!{run}", f"{run}1", f"x{run}\x1cy"):
+            assert encode(text) == plain(text), repr((blank, text[:3], text[-3:]))
+    ids = encode("a" + " " * 3_000_000 + "b")
+    start, end = token_counts.spans_of("a" + " " * 3_000_000 + "b", ids, sizes)
+    assert start[0] == 0 and end[-1] == 3_000_002 and (start[1:] == end[:-1]).all()
+
+
+def test_long_blanks_in_a_table(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b\nc"), (2, None), (3, "a\nb")], "doc_id long, text string")
+    out = {(r["doc_id"], r["section"]): (r["n_tokens"], r["doc_tokens"]) for r in token_counts.count_lines(docs, RANKS, P.PATTERN).collect()}
+    assert sum(n for (k, _), (n, _) in out.items() if k == 1) == out[1, 0][1] > 1000 and out[2, 0] == (0, 0) and len(out) == 5
+
+
+def test_other_tokenizers(corpus):
+    """A file that doesn't lower-case and split by words is used as it is."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = {r["doc_id"]: r["text"] for r in corpus.select("doc_id", "text").limit(40).collect()} | {999: "MiXed  Case\n\n x", 1000: None}
+    docs = corpus.sparkSession.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = defaultdict(bytes)
+    for r in packing.pack(docs, P.path("byte_bpe_50k.json")).orderBy("start").collect():
+        got[r["doc_id"]] += bytes(r["ids"])
+    assert got == {k: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for k, x in rows.items()}
+
+
+def test_numbering_beyond_broadcast(corpus, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_TASKS", 0)
+    out = packing.digest(corpus, PATH)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    ids = sorted(r["sequence_id"] for r in out.collect())
+    assert ids == list(range(len(ids)))

@@ -8,7 +8,7 @@ and never shuffled. All other digests have few copies each and go through one
 ordinary shuffle.
 
 Defined results: a null text counts as empty; empty texts are copies of each
-other; of copies the smallest id stays, a null id comes last, and of rows that
+other; a very long text is normalised and digested whole; of copies the smallest id stays, a null id comes last, and of rows that
 repeat the winning id exactly one stays. An empty table gives an empty result.
 Columns of the input other than the id and the text are never looked at, so
 their names and nulls don't matter.
@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.scratch import as_row, written
+from siltstone.llm.rows import identified, without
+from siltstone.scratch import written
 
 #: A digest is heavy when it has at least this share of all rows.
 HEAVY_SHARE = 1 / 2048
@@ -124,28 +125,19 @@ def duplicate_groups(
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The texts of light digests are shuffled once, by digest; of heavy digests
-    only one row per task and digest travels.
+    Of rows that share the winning id the one of least hash stays, and of rows
+    that are alike in all columns one. Only digests, ids and hashes are shuffled.
+    Copies of heavy digests are dropped where they lie; the others that go are
+    listed, and the list is broadcast if it is short, else joined.
     """
-    keyed = docs.select(
-        digest(F.col(text)).alias("digest"),
-        F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id")).alias("key"),
-        as_row(docs).alias("row"),
-    )
-    light = written(keyed.select("digest", "key"), "digests")
+    narrow = identified(docs, key, digest(F.col(text)).alias("digest")).select("digest", F.struct(F.col("id").isNull().alias("none"), "id", "tie").alias("key"))
+    light = written(narrow, "digests")
     heavy = written(heavy_digests(light), "heavy")
-    first = (
-        keyed.join(F.broadcast(heavy), "digest")
-        .filter(F.col("key") == F.col("winner"))
-        .groupBy("digest")
-        .agg(F.first("row").alias("row"))
-        .select("row.*")
-    )
-    order = Window.partitionBy("digest").orderBy("key")
-    rest = (
-        keyed.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-        .withColumn("rank", F.row_number().over(order))
-        .filter("rank = 1")
-        .select("row.*")
-    )
-    return first.unionByName(rest)
+    rest = light.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min("key").alias("winner"), F.count("*").alias("copies")).filter("copies > 1")
+    gone = written(rest.join(groups, "digest").filter("key <> winner").select("key.id", "key.tie").distinct(), "gone")
+    repeated = written(light.groupBy("key").count().filter("count > 1").select("key.id", "key.tie"), "repeated")
+    rows = identified(docs, key, digest(F.col(text)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("tie") == F.col("winner.tie"))
+    resolved = rows.join(F.broadcast(heavy), "digest", "left").filter(F.col("winner").isNull() | same)
+    return without(resolved.select("id", "tie", "row"), gone, repeated)

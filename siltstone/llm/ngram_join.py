@@ -1,35 +1,40 @@
 """Jaccard join of word shingles by count-vector R-trees.
 
 A document is the set of its hashed 5-word shingles. The shingles are hashed
-into groups, and a set's counts per group are a point; the overlap of two sets
-is at most the sum of their points' coordinate minima, and a set's overlap with
-any set under a tree node at most the sum of minima with the node's upper
-corner. Pairs that survive the bound are verified on the sets themselves, so the
-links are exact.
+into groups, and a set's counts per group are a point in R-trees (see
+``count_tree``): pairs of nodes, then of sets, are left out by the sum of their
+corners' coordinate minima. Pairs that survive the bound are verified on the
+sets themselves, so the links are exact.
 
-One tree over all documents would be searched by every document. The trees are
-therefore many and small, without losing a pair:
+One tree over all documents would be searched by every document, and hashed
+counts of unrelated texts of like length lie so close that its upper nodes prune
+little. So it is a forest, whose trees are found without losing a pair:
 
 1. Equal sets are one class from here on.
 2. Two sets with Jaccard similarity s share one of the n - ceil(s n) + 1 shingles
    of each that come first in any order common to all. The order takes the
-   corpus's rarest groups first, so shared passages come last. Classes that meet
-   in such a shingle are bounded against each other in a tree; those that
-   survive are connected, and the connected ones form a shard.
-3. A shard's sets are brought together and searched by a tree, with the exact
-   test on what survives; pairs that are already connected are skipped, because
+   corpus's rarest groups first, so shared passages come last. There is a tree
+   for each such shingle. In it a set of n shingles, of which r don't come before
+   the shingle, shares r with another one at most if it is the first that they
+   share; that limits a partner's size (``reach``), and the tree's nodes are
+   pruned by it. So texts that share a template and are below the similarity meet
+   in trees without a pair. What the bound leaves is connected; connected classes
+   form a shard.
+3. A shard's texts are brought together, and a tree over their sets leaves the
+   pairs for the exact test. Pairs that are connected already are skipped, as
    only components are asked for.
 
-A shard above the limits is dealt twice at random into blocks, which connects
-what is dense; then only the members outside of its largest component are
-compared with all its blocks. So a task holds two blocks at most and all pairs
-that could still connect something are tested. A shingle with very many
-documents is salted, and all that it holds goes to one shard without a test.
+Every group goes through a tree, whatever its size. A group above the limits (of
+a shingle or a shard) is dealt twice at random into cells, which connects what is
+dense; then only the members outside of its largest part are compared with all
+its cells. So a task holds a cell or two, and all pairs that could still connect
+something are tested.
 
 Defined results: a text without words (or null) is empty and linked with
-nothing, its component is its id. Rows with equal ids are documents of their
-own; a null id names a component only if all its ids are null. An empty table
-gives an empty result.
+nothing, its component is its id; a very long text is one set like any other.
+Rows with equal ids are documents of their own; a null id names a component only
+if all its ids are null. Columns other than the id and the text don't matter,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,35 +44,31 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.batches import by_bytes
 from siltstone.llm.components import connected_components
-from siltstone.scratch import as_row, written
+from siltstone.llm.count_tree import Forest, need, reach
+from siltstone.llm.rows import identified, if_few, row_hash, without
 from siltstone.llm.shingles import mixed, shingle_sets
+from siltstone.scratch import written
 
 PERCENT = 80
 #: Groups in which the corpus's shingles are counted for the order: 512 kB.
 ORDER_BITS = 16
-#: Coordinates of a point: about a group for eight shingles, within these bounds.
+#: Coordinates of a point: about a group for eight shingles, within these bounds. Trees have the lower number.
 COARSE, FINE = 64, 1024
-#: Classes of a tree's leaf; of a shingle, and of a block, that are held at once.
-LEAF = 64
-MEETING = 1024
-#: Rows of a larger group that are held at once; it is chained part by part.
-PART = 100_000
-BLOCK = 2048
-#: Shingles of a block's sets: 32 MB.
-BLOCK_SHINGLES = 4_000_000
+#: Members of a cell, and shingles of the sets in one: 32 MB.
+CELL = 4096
+CELL_SHINGLES = 4_000_000
+#: Classes of a cell that the estimate of a shingle's classes goes by, about.
+SAMPLED = 64
+#: Rows of small groups that are joined at once, and bytes of text that are encoded at once.
+ROWS = 20_000
 SLICE = 500_000
 
 
-def need(a, b, percent: int = PERCENT):
-    """The least overlap with which sets of a and b members are linked."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def point(s: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
@@ -76,46 +77,27 @@ def bits_for(n: int) -> int:
     return int(np.clip(n // 8, COARSE, FINE)).bit_length() - 1
 
 
-def folded(p: np.ndarray, bits: int) -> np.ndarray:
-    """A point with fewer coordinates: neighbouring groups added up."""
-    return p.reshape(1 << bits, -1).sum(1)
-
-
-class CountTree:
-    """A packed R-tree over points; only upper corners are kept, as the bound needs no lower ones."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
-        self.points, self.sizes, self.percent = points, sizes, percent
-        self.leaves: list[np.ndarray] = []
-        self._pack(np.arange(len(points)))
-        self.corner = np.stack([points[x].max(0) for x in self.leaves])
-        self.least = np.array([sizes[x].min() for x in self.leaves])
-
-    def _pack(self, rows: np.ndarray) -> None:
-        if len(rows) <= LEAF:
-            self.leaves.append(rows)
-            return
-        # the sizes spread most; among alike ones the widest coordinate
-        by = self.sizes[rows]
-        if by.max() * self.percent <= by.min() * 100:
-            part = self.points[rows]
-            by = part[:, np.argmax(part.max(0) - part.min(0))]
-        order = rows[np.argsort(by, kind="stable")]
-        half = max(LEAF, len(order) // 2 // LEAF * LEAF)
-        self._pack(order[:half])
-        self._pack(order[half:])
-
-    def search(self, at: int) -> np.ndarray:
-        """All rows after ``at`` whose bound allows a link with it, best bound first."""
-        q, n = self.points[at], self.sizes[at]
-        open_ = np.flatnonzero(np.minimum(self.corner, q).sum(1) >= need(n, self.least, self.percent))
-        if not len(open_):
-            return np.zeros(0, np.int64)
-        rows = np.concatenate([self.leaves[x] for x in open_])
-        rows = rows[rows > at]
-        bound = np.minimum(self.points[rows], q).sum(1)
-        good = bound >= need(n, self.sizes[rows], self.percent)
-        return rows[good][np.argsort(-bound[good], kind="stable")]
+def packed(p: np.ndarray) -> bytes:
+    """A point in one byte a group if its counts allow it, else in four."""
+    return p.astype(np.uint8 if p.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: list[bytes], n: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The points of sets of n shingles: all with COARSE groups, and by number of groups (rows' places, whole points)."""
+    coarse = np.zeros((len(raw), COARSE), np.int32)
+    groups = np.array([1 << bits_for(x) for x in n.tolist()], np.int64)
+    width = np.array([len(x) for x in raw], np.int64) // groups
+    fine: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for g in np.unique(groups).tolist():
+        place, whole = np.full(len(raw), -1), np.zeros((int((groups == g).sum()), g), np.int32)
+        place[groups == g] = np.arange(len(whole))
+        for w, kind in ((1, np.uint8), (4, "<u4")):
+            rows = np.flatnonzero((groups == g) & (width == w))
+            if len(rows):
+                whole[place[rows]] = np.frombuffer(b"".join(raw[r] for r in rows.tolist()), kind).reshape(len(rows), g)
+        coarse[groups == g] = whole.reshape(len(whole), COARSE, -1).sum(2)
+        fine[g] = (place, whole)
+    return coarse, fine
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -155,24 +137,18 @@ def _signatures(total: np.ndarray, percent: int) -> Callable:
                     one, n = s[a:b], int(b - a)
                     first = n - -(-percent * n // 100) + 1 if n else 0
                     order = np.lexsort((one, rare[a:b]))[:first]
-                    for column, value in zip(
-                        out, (n, *identity(one), one[order].astype(np.int64), point(one, bits_for(n)).astype("<u4").tobytes()), strict=True
-                    ):
+                    for column, value in zip(out, (n, *identity(one), one[order].astype(np.int64), packed(point(one, bits_for(n)))), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("key"), rows.column("mark"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                    names=["key", "mark", "n", "h1", "h2", "tokens", "point"],
+                    [*(rows.column(c) for c in ("key", "tie", "mark")), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
+                    names=["key", "tie", "mark", "n", "h1", "h2", "tokens", "point"],
                 )
 
     return run
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, most: int | None = None) -> Iterator[pa.Table]:
-    """Tables of whole groups, about ``rows`` rows each, of batches sorted by ``keys``.
-
-    A group of more than ``most`` rows comes in parts, each of which begins with
-    the last row of the one before.
-    """
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, about ``rows`` rows each, of batches sorted by ``keys``."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -187,172 +163,153 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, mos
         cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
         if cut:
             yield whole.slice(0, cut)
-            held = whole.slice(cut).combine_chunks().to_batches()
-        elif most and whole.num_rows > most:
-            yield whole
-            held = whole.slice(whole.num_rows - 1).combine_chunks().to_batches()
-        else:
-            held = whole.to_batches()
+        held = whole.slice(cut).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def runs(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def number_groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Each row's group, from 0, in a table sorted by ``keys``."""
     change = np.zeros(table.num_rows, bool)
-    change[0] = True
     for k in keys:
         x = np.array(table.column(k))
         change[1:] |= x[1:] != x[:-1]
-    starts = np.flatnonzero(change)
-    return starts, np.diff(np.r_[starts, table.num_rows])
-
+    return np.cumsum(change)
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest that the pairs connect it with."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, least)
-        np.minimum.at(after, j, least)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
 
-
-def _pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    i = np.repeat(starts, sizes) + inside
-    after = np.repeat(sizes, sizes) - inside - 1
-    first = np.repeat(i, after)
-    return first, first + 1 + np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+def _edges(cls: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(cls[root] != cls)
+    return pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[root[moved]])], names=["a", "b"])
 
 
 def _met(percent: int) -> Callable:
-    """Classes that meet in a shingle, to edges between those that the bound leaves."""
-    small = 24
+    """Classes that meet in a shingle (g) to edges between those that the bound leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups_of(batches, ["token", "salt"], min(20_000, PART), PART):
-            starts, sizes = runs(t, ["token", "salt"])
-            cls, n = np.array(t.column("cls")), np.array(t.column("n"))
-            raw = t.column("point").chunk(0).to_pylist()
-            fine = [np.frombuffer(x, "<u4") for x in raw]
-            coarse = np.stack([folded(x, COARSE.bit_length() - 1) for x in fine]).astype(np.int32)
-            salted = np.array(t.column("salts"))[starts] > 1
-            free = salted | (np.array(t.column("many"))[starts] > MEETING)
-            i, j = _pairs(starts[(sizes <= small) & ~free], sizes[(sizes <= small) & ~free])
-            ok = need(n[i], n[j], percent) <= np.minimum(n[i], n[j])
-            i, j = i[ok], j[ok]
-            ok = np.zeros(len(i), bool)
-            for a in range(0, len(i), 50_000):
-                x, y = i[a : a + 50_000], j[a : a + 50_000]
-                ok[a : a + 50_000] = np.minimum(coarse[x], coarse[y]).sum(1) >= need(n[x], n[y], percent)
-            for k in np.flatnonzero(ok):
-                p, q = fine[i[k]], fine[j[k]]
-                bits = min(len(p), len(q)).bit_length() - 1
-                if 1 << bits > COARSE:
-                    ok[k] = np.minimum(folded(p, bits), folded(q, bits)).sum() >= need(n[i[k]], n[j[k]], percent)
-            edges = [(i[ok], j[ok])]
-            for s, m in zip(starts[(sizes > small) & ~free], sizes[(sizes > small) & ~free], strict=True):
-                # trees of like sizes: a link needs sizes within the percentage, far below a factor of two
-                for level in np.unique(bits := np.array([len(x).bit_length() - 1 for x in fine[s : s + m]])):
-                    rows = s + np.flatnonzero((bits == level) | (bits == level + 1))
-                    tree = CountTree(np.stack([folded(fine[r], level) for r in rows]), n[rows], percent)
-                    for a in range(len(rows)):
-                        found = tree.search(a)
-                        edges.append((np.full(len(found), rows[a]), rows[found]))
-            for s, m in zip(starts[free], sizes[free], strict=True):
-                edges.append((np.arange(s, s + m - 1), np.arange(s + 1, s + m)))
-            i, j = (np.concatenate([e[k] for e in edges]).astype(np.int64) for k in (0, 1))
-            root = spanning(len(cls), i, j)
-            moved = np.flatnonzero(root != np.arange(len(cls)))
-            out = np.unique(np.c_[cls[moved], cls[root[moved]]], axis=0).reshape(-1, 2)
-            leaders = starts[salted]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[out[:, 0], cls[leaders]]),
-                    pa.array(np.r_[out[:, 1], cls[leaders]]),
-                    pa.array(np.r_[np.zeros(len(out), np.int64), np.array(t.column("token"))[leaders]], mask=np.r_[np.ones(len(out), bool), np.zeros(len(leaders), bool)]),
-                ],
-                names=["a", "b", "token"],
-            )
+        for t in groups_of(batches, ["g", "cell"], ROWS):
+            n, rest = np.array(t.column("n")), np.array(t.column("rest"))
+            coarse, fine = unpacked(t.column("point").to_pylist(), n)
+
+            def bounded(i: np.ndarray, j: np.ndarray, _parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """By the points with as many groups as both have."""
+                ok = np.ones(len(i), bool)
+                for g, (place_g, whole_g) in fine.items():
+                    for h, (place_h, whole_h) in fine.items():
+                        most = min(g, h)
+                        pairs = np.flatnonzero((place_g[i] >= 0) & (place_h[j] >= 0)) if most > COARSE else ()
+                        for a in range(0, len(pairs), 20_000):
+                            some = pairs[a : a + 20_000]
+                            x, y = (w[p[k[some]]].reshape(len(some), most, -1).sum(2) for w, p, k in ((whole_g, place_g, i), (whole_h, place_h, j)))
+                            ok[some] = np.minimum(x, y).sum(1) >= need(n[i[some]], n[j[some]], percent)
+                return i[ok], j[ok]
+
+            forest = Forest(number_groups(t, ["g", "cell"]), coarse, n, reach(n, rest, percent), percent)
+            yield _edges(np.array(t.column("cls")), forest.connect(bounded, np.array(t.column("side")) == 2))
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to sets, where they are those of the class that was asked for."""
-    for batch in batches:
-        for rows, s, bounds in _texts(batch):
-            want = list(zip(rows.column("h1").to_pylist(), rows.column("h2").to_pylist(), strict=True))
-            parts = [s[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            keep = [k for k, p in enumerate(parts) if identity(p) == want[k]]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("cls").take(pa.array(keep, pa.int64())), rows.column("shard").take(pa.array(keep, pa.int64())), pa.array([len(parts[k]) for k in keep], pa.int64()), pa.array([parts[k].tobytes() for k in keep], pa.binary())],
-                names=["cls", "shard", "n", "members"],
-            )
-
-
-def _linked(percent: int) -> Callable:
-    """A block's sets to (cls, root): the smallest class that its links connect a class with."""
-
-    def solve(cls: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-        n = np.array([len(s) for s in sets])
-        root = np.arange(len(sets))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        bits = np.array([bits_for(x) for x in n])
-        for level in np.unique(bits):
-            rows = np.flatnonzero((bits == level) | (bits == level + 1))
-            tree = CountTree(np.stack([point(sets[r], int(level)) for r in rows]), n[rows], percent)
-            for a, r in enumerate(rows):
-                for b in tree.search(a):
-                    o = rows[b]
-                    if side[r] & side[o] & 2 or (x := find(r)) == (y := find(o)):
-                        continue
-                    shared = len(np.intersect1d(sets[r], sets[o], assume_unique=True))
-                    if 100 * shared >= percent * (n[r] + n[o] - shared):
-                        root[max(x, y)] = min(x, y)
-        return np.array([find(k) for k in range(len(sets))])
+def _verified(percent: int) -> Callable:
+    """Texts of a shard (g) to edges: each class with one that its links connect it with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["shard", "block"]
-        for t in groups_of(batches, keys, 512):
-            for s, m in zip(*runs(t, keys), strict=True):
-                if m < 2:
-                    continue
-                part = t.slice(s, m).combine_chunks()
-                cls = np.array(part.column("cls"))
-                sets = [np.frombuffer(x, np.uint64) for x in part.column("members").to_pylist()]
-                root = solve(cls, sets, np.array(part.column("side")))
-                moved = root != np.arange(len(cls))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[root[moved]])], names=["a", "b"])
+        for t in groups_of(batches, ["g", "cell"], 512):
+            sets: list[np.ndarray] = []
+            for _, s, bounds in _texts(t.combine_chunks().to_batches()[0]):
+                sets += [s[a:b].copy() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            # a text that isn't the class's, or repeats it, is none of the shard's
+            h1, h2, cls, group = (np.array(x) for x in (t.column("h1"), t.column("h2"), t.column("cls"), number_groups(t, ["g", "cell"])))
+            fresh = np.r_[True, (cls[1:] != cls[:-1]) | (group[1:] != group[:-1])]
+            keep = np.array([k for k, s in enumerate(sets) if fresh[k] and identity(s) == (h1[k], h2[k])], np.int64)
+            if len(keep) < 2:
+                continue
+            sets, cls, group, side = [sets[k] for k in keep], cls[keep], group[keep], np.array(t.column("side"))[keep]
+            n = np.array([len(s) for s in sets])
+            members, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            coarse_bits, fine_bits = COARSE.bit_length() - 1, FINE.bit_length() - 1
+            coarse = np.bincount(owner * COARSE + (members >> np.uint64(64 - coarse_bits)).astype(np.int64), minlength=len(sets) * COARSE).reshape(-1, COARSE).astype(np.int32)
+
+            def linked(i: np.ndarray, j: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                names = parts.tolist()
+                over: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while x in over:
+                        x = over[x]
+                    return x
+
+                out: tuple[list[int], list[int]] = ([], [])
+                fine: dict[int, np.ndarray] = {}
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = find(names[a]), find(names[b])
+                    if x == y:
+                        continue
+                    for k in (a, b):
+                        if k not in fine:
+                            fine[k] = point(sets[k], fine_bits)
+                    least = need(int(n[a]), int(n[b]), percent)
+                    if np.minimum(fine[a], fine[b]).sum() < least or len(np.intersect1d(sets[a], sets[b], assume_unique=True)) < least:
+                        continue
+                    over[max(x, y)] = min(x, y)
+                    out[0].append(a)
+                    out[1].append(b)
+                return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+            yield _edges(cls, Forest(group, coarse, n, reach(n, n, percent), percent).connect(linked, side == 2))
 
     return run
 
 
-def _solve(dealt: DataFrame, percent: int) -> DataFrame:
-    """dealt: shard, block, side, cls, members; side 2 against side 2 is left out."""
-    rows = dealt.select("shard", "block", "side", "cls", "members").repartition("shard", "block").sortWithinPartitions("shard", "block", "cls")
-    return rows.transform(by_bytes).mapInArrow(_linked(percent), "a long, b long")
+def _inside(rows: DataFrame, blocks: DataFrame, join: Callable, payload: list[str], label: str) -> DataFrame:
+    """Edges (a, b) that connect the members of each group as all their links would.
+
+    rows: g, cls and the payload that ``join`` takes; blocks: g and the number of
+    cells of each group that has more than one. ``join`` makes edges from g,
+    cell, side, cls and payload sorted by g, cell, cls and side; side 2 isn't compared with side 2.
+    """
+
+    def joined(dealt: DataFrame) -> DataFrame:
+        sorted_ = dealt.select("g", F.col("cell").cast("long").alias("cell"), "side", "cls", *payload).repartition("g", "cell").sortWithinPartitions("g", "cell", "cls", "side")
+        return sorted_.transform(by_bytes).mapInArrow(join, "a long, b long")
+
+    def cell(seed: int, of: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "cls"), F.col(of))
+
+    if blocks.isEmpty():
+        return written(joined(rows.select("*", F.lit(0).alias("cell"), F.lit(1).alias("side"))), label)
+    sized = written(rows.join(if_few(blocks), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), f"{label}-sized")
+    large = sized.filter("blocks > 1")
+    once = joined(sized.select("*", cell(0, "blocks").alias("cell"), F.lit(1).alias("side")))
+    again = joined(large.select("*", cell(1, "blocks").alias("cell"), F.lit(1).alias("side")))
+    dense = written(once.unionByName(again), f"{label}-dense")
+    parts = connected_components(dense).select(F.col("node").alias("cls"), F.col("component").alias("part"))
+    placed = written(large.select("g", "cls").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), f"{label}-placed")
+    sizes = placed.groupBy("g", "part").agg(F.count("*").alias("size"))
+    largest = written(sizes.groupBy("g").agg(F.max_by("part", F.struct("size", "part")).alias("largest")), f"{label}-largest")
+    outer = written(placed.join(if_few(largest), "g").filter("part <> largest").select("g", "cls"), f"{label}-outer")
+    outer_blocks = written(outer.groupBy("g").agg(F.ceil(F.count("*") / CELL).alias("outer_blocks")), f"{label}-outer-cells")
+    if outer_blocks.isEmpty():
+        return dense
+    # those outside of the largest part, in cells of their own, against all cells
+    left = large.join(if_few(outer_blocks), "g")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    inner = left.select("*", cell(0, "blocks").alias("x"), every("outer_blocks").alias("y")).withColumn("side", F.lit(2))
+    crossed = left.join(if_few(outer), ["g", "cls"], "left_semi").select("*", every("blocks").alias("x"), cell(2, "outer_blocks").alias("y")).withColumn("side", F.lit(1))
+    # a member outside meets its own row of the inner side; of the two the one of side 1 comes first
+    crossing = joined(inner.unionByName(crossed).withColumn("cell", F.col("x") * F.col("outer_blocks") + F.col("y")))
+    return written(dense.unionByName(crossing), label)
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id; stays, whether the id is the component's, mark, a hash of the text, and part, which tells components apart and is null without shingles."""
-    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("mark"))
+    """One row per row of ``docs``: key, n_shingles, component_id; part, which tells components apart and is null without shingles; tie, a hash of the row."""
+    words = F.col(text).cast("string")
+    texts = docs.select(F.col(key).alias("key"), row_hash(docs).alias("tie"), words.alias("text"), F.xxhash64(words).alias("mark"))
     kind = dict(texts.dtypes)["key"]
     counts = texts.select("text").transform(by_bytes).mapInArrow(_group_counts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << ORDER_BITS, np.int64)
     total[np.array(counts.column("part"))] = np.array(counts.column("n"))
     seen = written(
-        texts.transform(by_bytes).mapInArrow(_signatures(total, percent), f"key {kind}, mark long, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
+        texts.transform(by_bytes).mapInArrow(_signatures(total, percent), f"key {kind}, tie long, mark long, n long, h1 long, h2 long, tokens array<bigint>, point binary").withColumn(
             "row", F.monotonically_increasing_id()
         ),
         "signatures",
@@ -361,93 +318,50 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     classes = written(
         seen.filter("n > 0")
         .groupBy(*same)
-        .agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.min_by("key", "row").alias("key"), F.any_value("tokens").alias("tokens"), F.any_value("point").alias("point")),
+        .agg(F.min("row").alias("cls"), F.min("key").alias("least"), F.min_by(F.struct("key", "mark"), "row").alias("one"), F.any_value("tokens").alias("tokens"), F.any_value("point").alias("point")),
         "classes",
     )
-    # a group far above the mean holds frequent shingles; what of them is among a set's first is salted
-    heavy = np.maximum(4 * MEETING, 8 * total.mean())
-    salts = F.greatest(F.lit(1), F.ceil(F.get(F.lit([int(x) for x in np.where(total > heavy, -(-total // int(heavy)), 1)]), F.shiftrightunsigned("token", 64 - ORDER_BITS).cast("int")))) if (total > heavy).any() else F.lit(1)
-    met = (
-        classes.select("cls", "n", F.explode("tokens").alias("token"))
-        .withColumn("salts", salts.cast("long"))
-        .withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
-        .withColumn("many", F.count("*").over(Window.partitionBy("token", "salt")))
-        .filter("many > 1 OR salts > 1")
-    )
-    pointed = met.join(classes.select("cls", "point"), "cls").repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
-    edges = written(pointed.transform(by_bytes).mapInArrow(_met(percent), "a long, b long, token long"), "met")
-    bound = edges.filter("token IS NULL").select("a", "b")
-    if (total > heavy).any():
-        led = edges.filter("token IS NOT NULL").select("token", "a")
-        bound = bound.unionByName(led.join(led.groupBy("token").agg(F.min("a").alias("b")), "token").select("a", "b"))
-    shards = connected_components(bound)
-    wanted = shards.select(F.col("node").alias("cls"), F.col("component").alias("shard")).join(classes.select("cls", "key", "h1", "h2"), "cls")
-    asked = wanted.select(F.col("key").alias("asked"), "cls", "shard", "h1", "h2")
-    joined = texts.join(asked, texts["key"].eqNullSafe(asked["asked"])).select("text", "cls", "shard", "h1", "h2")
-    # rows that repeat an id and its text give a set twice
-    sets = written(joined.transform(by_bytes).mapInArrow(_sets, "cls long, shard long, n long, members binary"), "sets")
-    limits = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    weight = written(sets.groupBy("shard").agg(limits.alias("blocks")).filter("blocks > 1"), "large")
-    if weight.isEmpty():
-        found = written(_solve(sets.select("*", F.lit(1).alias("side"), F.lit(0).cast("long").alias("block")), percent), "linked")
+    # shingles with very many classes, by those of a share of the classes; a miss costs time only
+    rate = max(1, CELL // SAMPLED)
+    some = classes.filter(F.pmod(F.xxhash64(F.lit(5), "cls"), F.lit(rate)) == 0).select(F.explode("tokens").alias("g"))
+    blocks = written(some.groupBy("g").agg(F.ceil(F.count("*") * rate / CELL).alias("blocks")).filter("blocks > 1"), "frequent")
+    placed = classes.select("cls", "n", F.posexplode("tokens").alias("place", "g")).withColumn("rest", F.col("n") - F.col("place")).drop("place")
+    if not blocks.isEmpty():
+        placed = placed.join(if_few(blocks), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     else:
-        sized = written(sets.join(weight, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "sized")
-        found = _solve(sized.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")), percent)
-        large = sized.filter("blocks > 1")
-        again = _solve(large.select("*", F.lit(1).alias("side"), F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("blocks")).alias("block")), percent)
-        dense = written(found.unionByName(again), "linked")
-        parts = connected_components(dense).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-        placed = written(large.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "placed")
-        sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("shard").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
-        outer = placed.join(largest, "shard").filter("part <> largest")
-        # those outside of the largest part, in blocks of their own, against all blocks
-        outer_blocks = outer.groupBy("shard").agg(limits.alias("outer_blocks"))
-        inner = (
-            placed.join(outer_blocks, "shard")
-            .select("*", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer_blocks") - 1)).alias("y"))
-            .select("shard", (F.col("x") * F.col("outer_blocks") + F.col("y")).alias("block"), F.lit(2).alias("side"), "cls", "members")
-        )
-        crossed = (
-            outer.join(outer_blocks, "shard")
-            .select("*", F.pmod(F.xxhash64(F.lit(2), "cls"), F.col("outer_blocks")).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"))
-            .select("shard", (F.col("x") * F.col("outer_blocks") + F.col("y")).alias("block"), F.lit(1).alias("side"), "cls", "members")
-        )
-        found = written(dense.unionByName(_solve(inner.unionByName(crossed), percent)), "linked")
+        placed = placed.withColumns({"blocks": F.lit(1), "salt": F.lit(0)})
+    # of the others, those that some size and reach in the group go with
+    own = Window.partitionBy("g", "salt")
+    reaches = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
+    possible = (F.count("*").over(own) > 1) & (F.min("n").over(own) <= reaches) & (F.max(reaches).over(own) >= F.col("n"))
+    met = placed.select("g", "cls", "rest", ((F.col("blocks") > 1) | possible).alias("may_meet")).filter("may_meet").drop("may_meet")
+    pointed = met.join(classes.select("cls", "n", "point"), "cls")
+    shards = connected_components(_inside(pointed, blocks, _met(percent), ["n", "rest", "point"], "met"))
+    asked = written(shards.select(F.col("node").alias("cls"), F.col("component").alias("g")).join(classes.select("cls", "one", *same), "cls").select("cls", "g", *same, F.col("one.key").alias("asked"), F.col("one.mark").alias("its_mark")), "asked")
+    limits = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES))
+    many = written(asked.groupBy("g").agg(limits.alias("blocks")).filter("blocks > 1"), "large")
+    # only texts that are asked for move, if their list is short enough to go to where the texts are
+    wanted = texts.join(if_few(asked.drop("n")), (F.col("mark") == F.col("its_mark")) & F.col("key").eqNullSafe(F.col("asked"))).select("g", "cls", "h1", "h2", "text")
+    found = _inside(wanted, many, _verified(percent), ["h1", "h2", "text"], "linked")
     linked = connected_components(found).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-    placed = classes.select(*same, "cls", "least").join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    names = placed.groupBy("part").agg(F.min("least").alias("name"))
-    named = placed.join(names, "part").select(*same, "name", "part")
-    return seen.select("key", "mark", *same).join(named, same, "left").select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("name", "key").alias("component_id"),
-        "mark",
-        F.coalesce("name", "key").eqNullSafe(F.col("key")).alias("stays"),
-        "part",
+    named = classes.select(*same, "cls", "least").join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    names = named.groupBy("part").agg(F.min("least").alias("name"))
+    named = named.join(names, "part").select(*same, "name", "part")
+    return seen.select("key", "tie", *same).join(named, same, "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"), "part", "tie"
     )
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` of each component, of the least id, with all its columns.
 
-    Ids come before nulls. Of several texts of that id the one of least hash
-    stays, and of rows that repeat the id and the text any one. Rows without a
-    shingle are in no component and all stay.
+    Ids come before nulls. Of several rows of that id the one of least hash
+    stays, and of rows that are alike in all columns one. Rows without a shingle
+    are in no component and all stay.
     """
-    judged = written(components(docs, text, key, percent).select(F.col(key).alias("gone"), "mark", "stays", "part"), "judged")
-    staying = judged.filter("stays AND part IS NOT NULL")
-    ties = written(staying.groupBy("part").agg(F.min("mark").alias("first"), F.count("*").alias("many")).filter("many > 1"), "ties")
-    gone, repeated = judged.filter("NOT stays").select("gone", "mark"), None
-    if not ties.isEmpty():
-        tied = staying.join(ties, "part")
-        gone = gone.unionByName(tied.filter("mark <> first").select("gone", "mark"))
-        repeated = tied.filter("mark = first").groupBy("gone", "mark").count().filter("count > 1")
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), as_row(docs).alias("row"))
-    same = lambda marks: F.col("key").eqNullSafe(marks["gone"]) & (F.col("hash") == marks["mark"])
-    gone = gone.distinct()
-    kept = rows.join(gone, same(gone), "left_anti")
-    if repeated is None:
-        return kept.select("row.*")
-    once = kept.join(repeated, same(repeated), "left_semi").groupBy("key", "hash").agg(F.first("row").alias("row"))
-    return kept.join(repeated, same(repeated), "left_anti").select("row.*").unionByName(once.select("row.*"))
+    judged = components(docs, text, key, percent).filter("part IS NOT NULL").select("part", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "tie").alias("row"))
+    judged = written(judged, "judged")
+    first = written(judged.groupBy("part").agg(F.min("row").alias("first"), F.count("*").alias("many")).filter("many > 1"), "firsts")
+    gone = written(judged.join(if_few(first), "part").filter("row <> first").select("row.id", "row.tie").distinct(), "gone")
+    repeated = written(judged.groupBy("row").count().filter("count > 1").select("row.id", "row.tie"), "repeated")
+    return without(identified(docs, key).select("id", "tie", "row"), gone, repeated)

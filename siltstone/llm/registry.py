@@ -95,7 +95,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents")).drop("mark", "stays", "part")
+    return ngram_join.components(table(spark, sf_dir, "documents")).drop("part", "tie")
 
 
 SQL_8 = r"""

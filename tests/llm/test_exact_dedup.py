@@ -7,7 +7,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
-from siltstone.llm import exact_dedup
+from siltstone.llm import exact_dedup, rows
 
 
 def normal(t):
@@ -17,12 +17,12 @@ def normal(t):
 @pytest.mark.parametrize(("share", "counters"), [(1 / 2048, 8192), (0.02, 80), (0.9, 4)])
 def test_groups(corpus, edge, share, counters):
     for docs in (corpus, edge):
-        rows = docs.select("doc_id", "text").collect()
+        found = docs.select("doc_id", "text").collect()
         groups = defaultdict(list)
-        for r in rows:
+        for r in found:
             groups[normal(r["text"])].append(r["doc_id"])
         out = exact_dedup.duplicate_groups(docs, share=share, counters=counters).collect()
-        assert len(out) == len(rows)
+        assert len(out) == len(found)
         by = {hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(): ids for t, ids in groups.items()}
         assert {r["text_sha256"] for r in out} == set(by)
         for r in out:
@@ -47,3 +47,15 @@ def test_misra_gries():
     least = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
     assert 50 - 120 / 4 <= least[b"a"] <= 50 and len(least) <= 3
     assert list(run(iter([]))) == []
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+@pytest.mark.parametrize("share", [1 / 2048, 0.4])
+def test_ties_agree(spark, monkeypatch, few, share):
+    """Rows that share the winning id: the same one each time, whatever the partitions, heavy or not."""
+    monkeypatch.setattr(rows, "FEW", few)
+    monkeypatch.setattr(exact_dedup, "HEAVY_SHARE", share)
+    data = [(7, "same  text", f"x{k}", {"m": k}) for k in range(9)] + [(7, "same text", "x3", None)] * 3 + [(None, "other", "a", None), (None, " other", "b", None)] + [(8, "lone", "z", None)] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string, tie string, m map<string,long>")
+    found = [sorted(map(str, exact_dedup.deduplicate(df.repartition(n)).collect())) for n in (1, 3, 5)]
+    assert len(found[0]) == 4 and found[1:] == found[:1] * 2  # " other" begins with a blank, so it is another text

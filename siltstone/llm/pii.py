@@ -2,31 +2,41 @@
 
 Base spans come from fixed patterns and checks and always stay. Looser
 patterns give more candidates. Labelers (format, gazetteer, words before, edges,
-variety) vote on every candidate; expectation-maximisation over the counts of
-vote patterns estimates how reliable each labeler is and gives each pattern a
-posterior; a logistic classifier is trained on these soft labels and decides
-which loose candidates become spans.
+variety) vote on every candidate; the gazetteers are short lists and what the
+corpus itself shows (domains of addresses, names after titles). Expectation-
+maximisation over the counts of vote patterns estimates how reliable each
+labeler is and gives each pattern a posterior. A logistic classifier of each kind
+is trained on these soft labels, from a bounded sample. It doesn't see the votes
+but the span itself and its context: length, share of digits, shape, beginning,
+the characters beside it and the word before. It decides which loose candidates
+become spans.
 
 Only DataFrame functions touch the documents. A match's place is the length of
 what ``split`` leaves before it and of the matches before it. What reaches the
-driver is one row per feature combination (KINDS x 3^5 votes at most).
+driver is one row per vote pattern (KINDS x 3^5 at most) and the sample
+(SAMPLE rows of each kind, about).
 
 The patterns are written so that Java's matcher neither backtracks over a run
 nor starts anew inside one; they find the same spans as the plain forms in the
 comments. A place is counted in code points, ends are exclusive.
 
 Defined results: a null text counts as empty; such a document has no span, zero
-counts and the digest of the empty string; rows are kept apart even when ids
-repeat or are null; an empty table gives an empty result.
+counts and the digest of the empty string; a very long text is searched whole,
+and a match may be of any length; rows are kept apart even when ids repeat or
+are null; other columns are never looked at, so their names don't matter; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.rows import if_few, narrow
+from siltstone.llm.toxicity import logistic
 from siltstone.scratch import written
 
 #: In the order of ties. [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+;
@@ -54,6 +64,13 @@ KINDS = [*BASE, "secret", "ssn", "iban", "name"]
 SHOWN = {"loose_email": "email", "loose_phone": "phone"}
 LABELERS = ("format", "gazetteer", "before", "edges", "variety")
 BEFORE = 40
+#: Candidates of each kind that the classifier is trained on, about: those of least hash.
+SAMPLE = 2000
+#: Matches that make a domain or a name one of the gazetteer.
+SEEN = 5
+#: The classifier's features and their numbers of values; hashed ones have HASHED, and one for nothing.
+HASHED = 64
+FEATURES = {"f_length": 8, "f_digits": 4, "f_left": 4, "f_right": 4, "f_word": HASHED + 1, "f_begin": HASHED + 1, "f_shape": HASHED + 1}
 
 GIVEN_NAMES = "james john robert michael william david mary patricia linda elizabeth anna maria jose juan carlos luis hans peter klaus jean pierre marie sophie paul thomas laura julia emma lucas".split()
 MAIL_DOMAINS = "gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com gmx.de web.de orange.fr free.fr example.com example.org example.net".split()
@@ -139,12 +156,28 @@ def candidates(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
     return seen.select("row", "key"), placed.withColumn("end", F.col("start") + F.length("match"))
 
 
+def listed(kind: Column, match: Column) -> Column:
+    """What a gazetteer lists of a match: an address's domain, a name's last word; null for other kinds."""
+    dotted = F.regexp_replace(F.lower(match), r" ?[\[(] ?dot ?[\])] ?", ".")
+    domain = F.regexp_replace(dotted, r"^.*(?:@|[\])] ?)", "")
+    return F.when(shown(kind) == "email", domain).when(kind == "name", F.regexp_extract(F.lower(match), r"(\p{L}+)$", 1))
+
+
+def with_gazetteer(spans: DataFrame) -> DataFrame:
+    """``spans`` with is_listed: whether what a gazetteer would list is in SEEN base addresses or names."""
+    named = spans.withColumns({"_kind": shown(F.col("kind")), "_listed": listed(F.col("kind"), F.col("match"))})
+    sure = named.filter("_listed IS NOT NULL AND (base OR kind = 'name')")
+    seen = written(narrow(sure.groupBy(F.col("_kind").alias("k"), F.col("_listed").alias("l")).count().filter(F.col("count") >= SEEN).select("k", "l")), "gazetteer")
+    joined = named.join(if_few(seen), (F.col("_kind") == F.col("k")) & (F.col("_listed") == F.col("l")), "left")
+    return joined.select(*spans.columns, F.col("l").isNotNull().alias("is_listed"))
+
+
 def vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
 def votes(spans: DataFrame) -> DataFrame:
-    """The labelers' votes: 1 personal, -1 not, 0 none."""
+    """The labelers' votes on ``spans`` with is_listed: 1 personal, -1 not, 0 none."""
     kind, match, before, after = (F.col(c) for c in ("kind", "match", "before", "after"))
     plain = shown(kind)
     lower, digits = F.lower(match), F.regexp_replace(match, "[^0-9]", "")
@@ -154,13 +187,13 @@ def votes(spans: DataFrame) -> DataFrame:
     is_base = kind.isin(*BASE)
     names = F.array(*map(F.lit, GIVEN_NAMES))
     in_gazetteer = (
-        F.when(plain == "email", F.lower(F.regexp_replace(F.regexp_replace(lower, r" ?[\[(] ?dot ?[\])] ?", "."), r"^.*(?:@|[\])] ?)", "")).rlike("(?:^|\\.)(?:" + "|".join(d.replace(".", r"\.") for d in MAIL_DOMAINS) + ")$"))
+        F.when(plain == "email", F.col("is_listed") | listed(kind, match).rlike("(?:^|\\.)(?:" + "|".join(d.replace(".", r"\.") for d in MAIL_DOMAINS) + ")$"))
         .when(kind == "card", digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"))
         .when(plain == "phone", digits.rlike("^(?:1[2-9]|[2-9])"))
         .when(kind == "secret", lower.rlike("[0-9]") & lower.rlike("[a-z][^a-z]*$"))
         .when(kind == "ssn", ~match.rlike("^(?:000|666|9)"))
         .when(kind == "iban", match.rlike("^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|PL)"))
-        .when(kind == "name", F.exists(F.split(lower, "[ .]+"), lambda w: F.array_contains(names, w)))
+        .when(kind == "name", F.col("is_listed") | F.exists(F.split(lower, "[ .]+"), lambda w: F.array_contains(names, w)))
         .otherwise(False)
     )
     not_in_gazetteer = F.when(kind == "ip", match.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\.")).when(kind.isin("card", "ssn", "name"), ~in_gazetteer).otherwise(False)
@@ -201,30 +234,46 @@ def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 50) -> t
     return prior, given, post
 
 
-def train(rows: list[tuple[str, tuple[int, ...], float, float]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, float]:
-    """Logistic regression by gradient descent: (kind, votes, weight, soft label) to weights."""
-    weights: dict[str, float] = {"bias": 0.0}
-    names = [["bias", f"kind={k}", *(f"{n}={v}" for n, v in zip(LABELERS, p, strict=True))] for k, p, _, _ in rows]
-    total = sum(n for *_, n, _ in rows) or 1.0
-    for _ in range(rounds):
-        slope: dict[str, float] = {}
-        for fs, (_, _, n, y) in zip(names, rows, strict=True):
-            z = sum(weights.get(f, 0.0) for f in fs)
-            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * n / total
-            for f in fs:
-                slope[f] = slope.get(f, 0.0) + d
-        for f, d in slope.items():
-            weights[f] = weights.get(f, 0.0) - rate * (d + decay * weights.get(f, 0.0))
-    return weights
-
-
-def probability(weights: dict[str, float]) -> Column:
-    z = F.lit(weights.get("bias", 0.0))
-    for f, w in sorted(weights.items()):
-        if f != "bias":
-            name, _, value = f.partition("=")
-            same = (F.col("kind") == value) if name == "kind" else (F.col(name) == int(value))
-            z = z + F.when(same, F.lit(w)).otherwise(0.0)
+def features(spans: DataFrame) -> DataFrame:
+    """``spans`` with the columns of FEATURES, numbers from 0."""
+    match, before, after = (F.col(c) for c in ("match", "before", "after"))
+    size = F.length(match)
+    side = lambda x: F.when(x == "", 0).when(x.rlike(r"[\p{L}\p{N}]"), 1).when(x.rlike(r"\s"), 2).otherwise(3)
+    hashed = lambda x: F.when(x == "", HASHED).otherwise(F.pmod(F.xxhash64(x), F.lit(HASHED)))
+    # a letter or digit for each run of them, as far as a shape tells something
+    shape = F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(match, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), "[0-9]+", "9"), F.lit(12))
+    return spans.withColumns({
+        "f_length": F.least(F.floor(F.log2(F.greatest(size, F.lit(1)))), F.lit(7)),
+        "f_digits": F.floor(F.length(F.regexp_replace(match, "[^0-9]", "")) * 3.99 / F.greatest(size, F.lit(1))),
+        "f_left": side(F.right(before, F.lit(1))),
+        "f_right": side(after),
+        "f_word": hashed(F.regexp_extract(F.lower(before), r"(\p{L}+)\P{L}*$", 1)),
+        "f_begin": hashed(F.lower(F.left(match, F.lit(3)))),
+        "f_shape": hashed(shape),
+    })
+
+
+def train(rows: list[tuple[str, tuple[int, ...], float]]) -> dict[str, np.ndarray]:
+    """(kind, values of FEATURES, soft label) to each kind's weights: the bias, then one of each value of each feature."""
+    offsets = np.cumsum([0, *FEATURES.values()])
+    out = {}
+    for kind in sorted({k for k, _, _ in rows}):
+        own = [(f, y) for k, f, y in rows if k == kind]
+        x = np.zeros((len(own), int(offsets[-1])))
+        x[np.arange(len(own))[:, None], np.array([f for f, _ in own]) + offsets[:-1]] = 1
+        out[kind] = logistic(x, np.array([y for _, y in own]), decay=0.1)
+    return out
+
+
+def probability(weights: dict[str, np.ndarray]) -> Column:
+    """What the classifier of the span's kind says; a half for a kind without one."""
+    offsets = np.cumsum([1, *FEATURES.values()])
+    z = F.lit(0.0)
+    for kind, w in weights.items():
+        own = F.lit(float(w[0]))
+        for a, b, name in zip(offsets[:-1], offsets[1:], FEATURES, strict=True):
+            own = own + F.get(F.lit(w[a:b].tolist()), F.col(name).cast("int"))
+        z = F.when(F.col("kind") == kind, own).otherwise(z)
     return 1 / (1 + F.exp(-z))
 
 
@@ -235,14 +284,21 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     no base span and that starts after all earlier accepted ones have ended.
     """
     rows, found = candidates(docs, text, key)
-    judged = written(votes(found.withColumn("base", valid(F.col("kind"), F.col("match")))), "votes")
+    checked = written(found.withColumn("base", valid(F.col("kind"), F.col("match"))), "candidates")
+    judged = written(features(votes(with_gazetteer(checked))), "votes")
     counted = judged.groupBy("kind", *LABELERS).count().collect()  # one row per vote pattern
     patterns: dict[tuple[int, ...], float] = {}
     for r in counted:
         p = tuple(r[n] for n in LABELERS)
         patterns[p] = patterns.get(p, 0) + r["count"]
     _, _, post = reliabilities(patterns)
-    weights = train([(r["kind"], p := tuple(r[n] for n in LABELERS), float(r["count"]), post[p]) for r in counted])
+    share = F.lit(0.0)
+    for kind in BASE | LOOSE:
+        n = sum(r["count"] for r in counted if r["kind"] == kind)
+        share = F.when(F.col("kind") == kind, min(1.0, SAMPLE / max(1, n))).otherwise(share)
+    # by what they are and where, so that partitions don't matter
+    sampled = judged.filter(F.xxhash64("kind", "match", "before", "start") / 2.0**64 + 0.5 < share).select("kind", *LABELERS, *FEATURES).collect()
+    weights = train([(r["kind"], tuple(r[f] for f in FEATURES), post[tuple(r[n] for n in LABELERS)]) for r in sampled])
     scored = judged.withColumn("score", probability(weights))
     kept = scored.filter(F.col("base") | (~F.col("kind").isin(*BASE) & (F.col("score") >= threshold)))
     by_start = Window.partitionBy("row").orderBy("start", "end", "kind")

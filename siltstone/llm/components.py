@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.rows import narrow
 from siltstone.scratch import remove, written
 
 
@@ -40,9 +41,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     component is the smallest node reachable.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = written(narrow(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     while not _are_stars(now):
-        after = written(_small(_large(now)), "edges")
+        after = written(narrow(_small(_large(now))), "edges")
         remove(now)
         now = after
     roots = now.select(F.col("b").alias("node")).distinct()

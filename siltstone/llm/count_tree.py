@@ -21,7 +21,7 @@ import numpy as np
 
 LEAF, FAN = 16, 8
 #: Pairs of rows, or of nodes, that are looked at together.
-TOGETHER = 100_000
+TOGETHER = 20_000
 
 
 def need(a, b, percent: int):

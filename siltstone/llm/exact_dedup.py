@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.rows import identified, without
+from siltstone.llm.rows import identified, narrow, without
 from siltstone.scratch import written
 
 #: A digest is heavy when it has at least this share of all rows.
@@ -130,13 +130,13 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Copies of heavy digests are dropped where they lie; the others that go are
     listed, and the list is broadcast if it is short, else joined.
     """
-    narrow = identified(docs, key, digest(F.col(text)).alias("digest")).select("digest", F.struct(F.col("id").isNull().alias("none"), "id", "tie").alias("key"))
-    light = written(narrow, "digests")
+    named = identified(docs, key, digest(F.col(text)).alias("digest")).select("digest", F.struct(F.col("id").isNull().alias("none"), "id", "tie").alias("key"))
+    light = written(named, "digests")
     heavy = written(heavy_digests(light), "heavy")
     rest = light.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.min("key").alias("winner"), F.count("*").alias("copies")).filter("copies > 1")
-    gone = written(rest.join(groups, "digest").filter("key <> winner").select("key.id", "key.tie").distinct(), "gone")
-    repeated = written(light.groupBy("key").count().filter("count > 1").select("key.id", "key.tie"), "repeated")
+    gone = written(narrow(rest.join(groups, "digest").filter("key <> winner").select("key.id", "key.tie").distinct()), "gone")
+    repeated = written(narrow(light.groupBy("key").count().filter("count > 1").select("key.id", "key.tie")), "repeated")
     rows = identified(docs, key, digest(F.col(text)).alias("digest"))
     same = F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("tie") == F.col("winner.tie"))
     resolved = rows.join(F.broadcast(heavy), "digest", "left").filter(F.col("winner").isNull() | same)

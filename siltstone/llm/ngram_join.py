@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.batches import by_bytes
 from siltstone.llm.components import connected_components
 from siltstone.llm.count_tree import Forest, need, reach
-from siltstone.llm.rows import identified, if_few, row_hash, without
+from siltstone.llm.rows import identified, if_few, narrow, row_hash, without
 from siltstone.llm.shingles import mixed, shingle_sets
 from siltstone.scratch import written
 
@@ -62,10 +62,14 @@ COARSE, FINE = 64, 1024
 #: Members of a cell, and shingles of the sets in one: 32 MB.
 CELL = 4096
 CELL_SHINGLES = 4_000_000
+#: Texts of a shard that are dealt at random into a cell; as many of a dense one connect it as well.
+DEALT = 256
 #: Classes of a cell that the estimate of a shingle's classes goes by, about.
 SAMPLED = 64
+#: Bits of a shingle's hash that tell trees apart. Two shingles in one tree cost time only.
+TOKEN_BITS = 48
 #: Rows of small groups that are joined at once, and bytes of text that are encoded at once.
-ROWS = 20_000
+ROWS = 8000
 SLICE = 500_000
 
 
@@ -95,7 +99,7 @@ def unpacked(raw: list[bytes], n: np.ndarray) -> tuple[np.ndarray, dict[int, tup
             rows = np.flatnonzero((groups == g) & (width == w))
             if len(rows):
                 whole[place[rows]] = np.frombuffer(b"".join(raw[r] for r in rows.tolist()), kind).reshape(len(rows), g)
-        coarse[groups == g] = whole.reshape(len(whole), COARSE, -1).sum(2)
+        coarse[groups == g] = whole.reshape(len(whole), COARSE, -1).sum(2, dtype=np.int32)
         fine[g] = (place, whole)
     return coarse, fine
 
@@ -137,7 +141,7 @@ def _signatures(total: np.ndarray, percent: int) -> Callable:
                     one, n = s[a:b], int(b - a)
                     first = n - -(-percent * n // 100) + 1 if n else 0
                     order = np.lexsort((one, rare[a:b]))[:first]
-                    for column, value in zip(out, (n, *identity(one), one[order].astype(np.int64), packed(point(one, bits_for(n)))), strict=True):
+                    for column, value in zip(out, (n, *identity(one), (one[order] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64), packed(point(one, bits_for(n)))), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(c) for c in ("key", "tie", "mark")), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
@@ -187,7 +191,7 @@ def _met(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, ["g", "cell"], ROWS):
-            n, rest = np.array(t.column("n")), np.array(t.column("rest"))
+            n, most = np.array(t.column("n")), np.array(t.column("reach")).astype(np.int64)
             coarse, fine = unpacked(t.column("point").to_pylist(), n)
 
             def bounded(i: np.ndarray, j: np.ndarray, _parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +199,15 @@ def _met(percent: int) -> Callable:
                 ok = np.ones(len(i), bool)
                 for g, (place_g, whole_g) in fine.items():
                     for h, (place_h, whole_h) in fine.items():
-                        most = min(g, h)
-                        pairs = np.flatnonzero((place_g[i] >= 0) & (place_h[j] >= 0)) if most > COARSE else ()
-                        for a in range(0, len(pairs), 20_000):
-                            some = pairs[a : a + 20_000]
-                            x, y = (w[p[k[some]]].reshape(len(some), most, -1).sum(2) for w, p, k in ((whole_g, place_g, i), (whole_h, place_h, j)))
+                        width = min(g, h)
+                        pairs = np.flatnonzero((place_g[i] >= 0) & (place_h[j] >= 0)) if width > COARSE else ()
+                        for a in range(0, len(pairs), 2000):
+                            some = pairs[a : a + 2000]
+                            x, y = (w[p[k[some]]].reshape(len(some), width, -1).sum(2, dtype=np.int32) for w, p, k in ((whole_g, place_g, i), (whole_h, place_h, j)))
                             ok[some] = np.minimum(x, y).sum(1) >= need(n[i[some]], n[j[some]], percent)
                 return i[ok], j[ok]
 
-            forest = Forest(number_groups(t, ["g", "cell"]), coarse, n, reach(n, rest, percent), percent)
+            forest = Forest(number_groups(t, ["g", "cell"]), coarse, n, most, percent)
             yield _edges(np.array(t.column("cls")), forest.connect(bounded, np.array(t.column("side")) == 2))
 
     return run
@@ -263,8 +267,9 @@ def _verified(percent: int) -> Callable:
 def _inside(rows: DataFrame, blocks: DataFrame, join: Callable, payload: list[str], label: str) -> DataFrame:
     """Edges (a, b) that connect the members of each group as all their links would.
 
-    rows: g, cls and the payload that ``join`` takes; blocks: g and the number of
-    cells of each group that has more than one. ``join`` makes edges from g,
+    rows: g, cls and the payload that ``join`` takes; blocks, of each group above
+    the limits: g, the number of cells that it is dealt into at random, and the
+    number of cells (wide) in which it is compared with its members outside. ``join`` makes edges from g,
     cell, side, cls and payload sorted by g, cell, cls and side; side 2 isn't compared with side 2.
     """
 
@@ -283,18 +288,18 @@ def _inside(rows: DataFrame, blocks: DataFrame, join: Callable, payload: list[st
     again = joined(large.select("*", cell(1, "blocks").alias("cell"), F.lit(1).alias("side")))
     dense = written(once.unionByName(again), f"{label}-dense")
     parts = connected_components(dense).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-    placed = written(large.select("g", "cls").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), f"{label}-placed")
+    placed = written(narrow(large.select("g", "cls").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))), f"{label}-placed")
     sizes = placed.groupBy("g", "part").agg(F.count("*").alias("size"))
-    largest = written(sizes.groupBy("g").agg(F.max_by("part", F.struct("size", "part")).alias("largest")), f"{label}-largest")
+    largest = written(narrow(sizes.groupBy("g").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))), f"{label}-largest")
     outer = written(placed.join(if_few(largest), "g").filter("part <> largest").select("g", "cls"), f"{label}-outer")
-    outer_blocks = written(outer.groupBy("g").agg(F.ceil(F.count("*") / CELL).alias("outer_blocks")), f"{label}-outer-cells")
+    outer_blocks = written(narrow(outer.groupBy("g").agg(F.ceil(F.count("*") / CELL).alias("outer_blocks"))), f"{label}-outer-cells")
     if outer_blocks.isEmpty():
         return dense
     # those outside of the largest part, in cells of their own, against all cells
     left = large.join(if_few(outer_blocks), "g")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    inner = left.select("*", cell(0, "blocks").alias("x"), every("outer_blocks").alias("y")).withColumn("side", F.lit(2))
-    crossed = left.join(if_few(outer), ["g", "cls"], "left_semi").select("*", every("blocks").alias("x"), cell(2, "outer_blocks").alias("y")).withColumn("side", F.lit(1))
+    inner = left.select("*", cell(3, "wide").alias("x"), every("outer_blocks").alias("y")).withColumn("side", F.lit(2))
+    crossed = left.join(if_few(outer), ["g", "cls"], "left_semi").select("*", every("wide").alias("x"), cell(2, "outer_blocks").alias("y")).withColumn("side", F.lit(1))
     # a member outside meets its own row of the inner side; of the two the one of side 1 comes first
     crossing = joined(inner.unionByName(crossed).withColumn("cell", F.col("x") * F.col("outer_blocks") + F.col("y")))
     return written(dense.unionByName(crossing), label)
@@ -324,29 +329,31 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     # shingles with very many classes, by those of a share of the classes; a miss costs time only
     rate = max(1, CELL // SAMPLED)
     some = classes.filter(F.pmod(F.xxhash64(F.lit(5), "cls"), F.lit(rate)) == 0).select(F.explode("tokens").alias("g"))
-    blocks = written(some.groupBy("g").agg(F.ceil(F.count("*") * rate / CELL).alias("blocks")).filter("blocks > 1"), "frequent")
-    placed = classes.select("cls", "n", F.posexplode("tokens").alias("place", "g")).withColumn("rest", F.col("n") - F.col("place")).drop("place")
+    blocks = written(narrow(some.groupBy("g").agg(F.ceil(F.count("*") * rate / CELL).alias("blocks")).filter("blocks > 1").withColumn("wide", F.col("blocks"))), "frequent")
+    # these rows are by far the most that are shuffled, so they have nothing but what the window needs
+    reaches = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
+    placed = classes.select("cls", "n", F.posexplode("tokens").alias("place", "g")).select("cls", "g", F.col("n").cast("int").alias("n"), reaches.cast("int").alias("reach"))
     if not blocks.isEmpty():
-        placed = placed.join(if_few(blocks), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        placed = placed.join(if_few(blocks.drop("wide")), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     else:
         placed = placed.withColumns({"blocks": F.lit(1), "salt": F.lit(0)})
     # of the others, those that some size and reach in the group go with
     own = Window.partitionBy("g", "salt")
-    reaches = F.floor(F.col("rest") * (100 + percent) / percent) - F.col("n")
-    possible = (F.count("*").over(own) > 1) & (F.min("n").over(own) <= reaches) & (F.max(reaches).over(own) >= F.col("n"))
-    met = placed.select("g", "cls", "rest", ((F.col("blocks") > 1) | possible).alias("may_meet")).filter("may_meet").drop("may_meet")
+    possible = (F.count("*").over(own) > 1) & (F.min("n").over(own) <= F.col("reach")) & (F.max("reach").over(own) >= F.col("n"))
+    met = placed.select("g", "cls", "reach", ((F.col("blocks") > 1) | possible).alias("may_meet")).filter("may_meet").drop("may_meet")
     pointed = met.join(classes.select("cls", "n", "point"), "cls")
-    shards = connected_components(_inside(pointed, blocks, _met(percent), ["n", "rest", "point"], "met"))
-    asked = written(shards.select(F.col("node").alias("cls"), F.col("component").alias("g")).join(classes.select("cls", "one", *same), "cls").select("cls", "g", *same, F.col("one.key").alias("asked"), F.col("one.mark").alias("its_mark")), "asked")
-    limits = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES))
-    many = written(asked.groupBy("g").agg(limits.alias("blocks")).filter("blocks > 1"), "large")
+    shards = connected_components(_inside(pointed, blocks, _met(percent), ["n", "reach", "point"], "met"))
+    named = shards.select(F.col("node").alias("cls"), F.col("component").alias("g")).join(classes.select("cls", "one", *same), "cls")
+    asked = written(narrow(named.select("cls", "g", *same, F.col("one.key").alias("asked"), F.col("one.mark").alias("its_mark"))), "asked")
+    limits = lambda members: F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / CELL_SHINGLES))
+    many = written(narrow(asked.groupBy("g").agg(limits(min(DEALT, CELL)).alias("blocks"), limits(CELL).alias("wide")).filter("blocks > 1")), "large")
     # only texts that are asked for move, if their list is short enough to go to where the texts are
     wanted = texts.join(if_few(asked.drop("n")), (F.col("mark") == F.col("its_mark")) & F.col("key").eqNullSafe(F.col("asked"))).select("g", "cls", "h1", "h2", "text")
     found = _inside(wanted, many, _verified(percent), ["h1", "h2", "text"], "linked")
     linked = connected_components(found).select(F.col("node").alias("cls"), F.col("component").alias("part"))
-    named = classes.select(*same, "cls", "least").join(linked, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    names = named.groupBy("part").agg(F.min("least").alias("name"))
-    named = named.join(names, "part").select(*same, "name", "part")
+    joined = classes.select(*same, "cls", "least").join(linked, "cls", "left")
+    names = written(narrow(joined.filter("part IS NOT NULL").groupBy("part").agg(F.min("least").alias("name"))), "names")
+    named = joined.join(if_few(names), "part", "left").select(*same, F.when(F.col("part").isNull(), F.col("least")).otherwise(F.col("name")).alias("name"), F.coalesce("part", "cls").alias("part"))
     return seen.select("key", "tie", *same).join(named, same, "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"), "part", "tie"
     )
@@ -361,7 +368,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """
     judged = components(docs, text, key, percent).filter("part IS NOT NULL").select("part", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "tie").alias("row"))
     judged = written(judged, "judged")
-    first = written(judged.groupBy("part").agg(F.min("row").alias("first"), F.count("*").alias("many")).filter("many > 1"), "firsts")
-    gone = written(judged.join(if_few(first), "part").filter("row <> first").select("row.id", "row.tie").distinct(), "gone")
-    repeated = written(judged.groupBy("row").count().filter("count > 1").select("row.id", "row.tie"), "repeated")
+    first = written(narrow(judged.groupBy("part").agg(F.min("row").alias("first"), F.count("*").alias("many")).filter("many > 1")), "firsts")
+    gone = written(narrow(judged.join(if_few(first), "part").filter("row <> first").select("row.id", "row.tie").distinct()), "gone")
+    repeated = written(narrow(judged.groupBy("row").count().filter("count > 1").select("row.id", "row.tie")), "repeated")
     return without(identified(docs, key).select("id", "tie", "row"), gone, repeated)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.scratch import as_row
+from siltstone.scratch import as_row, spread
 
 #: Rows (some 50 bytes each) up to which a list of rows is broadcast. Beyond it a
 #: join is left to the planner, which splits skewed keys at run time.
@@ -18,6 +18,14 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(len(hashable)), *hashable)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``df``, whose rows are some numbers where the tables around it hold texts, in a sixteenth of a shuffle's partitions.
+
+    Only for what comes out of a shuffle and does little after it.
+    """
+    return df.coalesce(max(1, spread(df.sparkSession) // 16))
+
+
 def if_few(df: DataFrame) -> DataFrame:
     """Written ``df``, marked for broadcast if its rows are counted to be few."""
     return F.broadcast(df) if df.count() <= FEW else df

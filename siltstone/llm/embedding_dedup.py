@@ -23,7 +23,8 @@ TABLES = 4 and PROBES = 4; ``tests/llm`` measures it against brute force.
 Defined results: a null label, a null, empty or zero vector, and one with null
 or non-finite components link with nothing. Vectors of different lengths don't
 link. Rows with equal ids are different vectors. A null id is no component's
-name unless all its ids are null. An empty table gives an empty result.
+name unless all its ids are null. Other columns are never looked at, so their
+names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations

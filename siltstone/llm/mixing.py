@@ -14,10 +14,10 @@ The targets need the sources in order of size / weight; that order is global
 but dealt by range (see ``prefix_sums``).
 
 Defined results: a null text has size 0, a very long one is counted whole; a
-null source is a source of its own;
-a source of size 0 has target and rate 0; ids need not be unique: rows with the
-same id draw the same number, a null id draws as the empty string. An empty
-table gives an empty result. Other columns are untouched, whatever their names.
+null source is a source of its own; a source of size 0 has target and rate 0;
+ids need not be unique: rows with the same id draw the same number, a null id
+draws as the empty string. An empty table gives an empty result. Other columns
+are untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,7 +2,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import duckdb
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline as pipeline
+from siltstone.llm import registry
 from siltstone.scratch import written
 
 from llm_data import labelled
@@ -35,7 +41,33 @@ def test_stages(spark, tmp_path):
             assert sorted((i for i, _ in after), key=str) == sorted((i for i, _, c in brute(before) if i == c), key=str)
         elif name == "mix":
             assert {i for i, _ in after} <= {i for i, _ in before} and max(Counter(i for i, _ in after).values()) <= 3
+            # each document exactly as often as the plan's SQL says
+            con = duckdb.connect()
+            con.register("documents", seen["near_dedup"].toArrow())
+            planned = {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT doc_id, size, taken FROM ({registry.SQL_3})").fetchall()}
+            times = Counter(i for i, _ in after)
+            assert {i: n * times[i] for i, (n, _) in planned.items()} == {i: taken for i, (_, taken) in planned.items()}
     pieces = seen["packing"]
+    # the pieces put together again are each row's ids
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted, found = Counter(), Counter()
+    for r in seen["mix"].select("doc_id", "text").collect():
+        wanted[r["doc_id"]] += len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    for r in pieces.select("doc_id", "length").collect():
+        found[r["doc_id"]] += r["length"]
+    assert found == wanted
     assert pieces.count() == pieces.select("sequence_id").distinct().count()
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in seen["mix"].select("doc_id").distinct().collect()}
     assert pipeline.run(spark, str(tmp_path)).count() == pieces.count()
+
+
+def test_stages_on_edges(spark, edge, empty, tmp_path):
+    """Each stage on nulls, long and repeated rows and clashing names, and on no row at all."""
+    labels = edge.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (edge, empty):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert n >= docs.count() if name == "packing" else out.columns == docs.columns and (n <= docs.count() or name == "mix"), name
+            assert docs is edge or n == 0

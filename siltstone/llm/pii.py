@@ -13,8 +13,8 @@ become spans.
 
 Only DataFrame functions touch the documents. A match's place is the length of
 what ``split`` leaves before it and of the matches before it. What reaches the
-driver is one row per vote pattern (KINDS x 3^5 at most) and the sample
-(SAMPLE rows of each kind, about).
+driver is one row per vote pattern (KINDS x 3^5 at most) and the sample (SAMPLE
+different candidates of each kind, about, however often each occurs).
 
 The patterns are written so that Java's matcher neither backtracks over a run
 nor starts anew inside one; they find the same spans as the plain forms in the
@@ -64,7 +64,7 @@ KINDS = [*BASE, "secret", "ssn", "iban", "name"]
 SHOWN = {"loose_email": "email", "loose_phone": "phone"}
 LABELERS = ("format", "gazetteer", "before", "edges", "variety")
 BEFORE = 40
-#: Candidates of each kind that the classifier is trained on, about: those of least hash.
+#: Different candidates of each kind that the classifier is trained on, about: those of least hash.
 SAMPLE = 2000
 #: Matches that make a domain or a name one of the gazetteer.
 SEEN = 5
@@ -285,7 +285,9 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     """
     rows, found = candidates(docs, text, key)
     checked = written(found.withColumn("base", valid(F.col("kind"), F.col("match"))), "candidates")
-    judged = written(features(votes(with_gazetteer(checked))), "votes")
+    # by what they are and where, so that neither partitions nor copies matter
+    alike = F.xxhash64("kind", "match", "before", "start")
+    judged = written(features(votes(with_gazetteer(checked))).withColumn("alike", alike), "votes")
     counted = judged.groupBy("kind", *LABELERS).count().collect()  # one row per vote pattern
     patterns: dict[tuple[int, ...], float] = {}
     for r in counted:
@@ -293,12 +295,10 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
         patterns[p] = patterns.get(p, 0) + r["count"]
     _, _, post = reliabilities(patterns)
     share = F.lit(0.0)
-    for kind in BASE | LOOSE:
-        n = sum(r["count"] for r in counted if r["kind"] == kind)
-        share = F.when(F.col("kind") == kind, min(1.0, SAMPLE / max(1, n))).otherwise(share)
-    # by what they are and where, so that partitions don't matter
-    sampled = judged.filter(F.xxhash64("kind", "match", "before", "start") / 2.0**64 + 0.5 < share).select("kind", *LABELERS, *FEATURES).collect()
-    weights = train([(r["kind"], tuple(r[f] for f in FEATURES), post[tuple(r[n] for n in LABELERS)]) for r in sampled])
+    for r in judged.groupBy("kind").agg(F.approx_count_distinct("alike").alias("n")).collect():
+        share = F.when(F.col("kind") == r["kind"], min(1.0, SAMPLE / max(1, r["n"]))).otherwise(share)
+    sampled = judged.filter(F.col("alike") / 2.0**64 + 0.5 < share).select("kind", "alike", *LABELERS, *FEATURES).distinct().collect()
+    weights = train([(r["kind"], tuple(r[f] for f in FEATURES), post[tuple(r[n] for n in LABELERS)]) for r in sorted(sampled)])
     scored = judged.withColumn("score", probability(weights))
     kept = scored.filter(F.col("base") | (~F.col("kind").isin(*BASE) & (F.col("score") >= threshold)))
     by_start = Window.partitionBy("row").orderBy("start", "end", "kind")

@@ -143,3 +143,13 @@ def test_gazetteer_of_the_corpus(spark):
     listed = pii.with_gazetteer(found.withColumn("base", pii.valid(found["kind"], found["match"])))
     got = {(r["kind"], r["match"]): r["is_listed"] for r in listed.collect()}
     assert got["loose_email", "bob [at] somewhere [dot] test"] and not got["loose_email", "eve [at] other [dot] test"] and got["name", "Mr. Anyname"]
+
+
+def test_copies_are_sampled_once(spark, monkeypatch):
+    """However often a text occurs, the driver gets its candidates once, and the others are still learned from."""
+    rows = [(k, "write to one@same.test or call +1 415 555 0100 now") for k in range(6000)] + [(10_000 + k, f"contact user{k}@else.test here") for k in range(30)]
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda found: seen.extend(found) or {})
+    pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "text", "doc_id")
+    # every run of digits is a candidate of a card
+    assert sorted(kind for kind, _, _ in seen) == ["card"] * 31 + ["email"] * 31 + ["phone"]

@@ -4,9 +4,10 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siltstone.llm import packing, token_counts
+from siltstone.llm import packing, token_counts, wordids
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("word_bpe_49k.json")
@@ -153,3 +154,18 @@ def test_numbering_beyond_broadcast(corpus, monkeypatch):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     ids = sorted(r["sequence_id"] for r in out.collect())
     assert ids == list(range(len(ids)))
+
+
+def test_words_of_all_kinds(plain):
+    """Words that are merged together and words that go one by one give the ids of the text as a whole."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzßàéîõüÿ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 24))) for _ in range(1500)]
+    words += ["École", "ÀÇÉ", "it's", "x'", "'s", "a\x01b", "\x01", "<|startoftext|>", "a<|b", "3.14", "ªº", "÷×", "Σας", "éa", "́", "日本語", "…", "a b", "!", "word!!", "ok.,", "🙂🙂", "don't!"]
+    texts = [" ".join(rng.permutation(words)) for _ in range(3)] + ["", "\x01", " \x01 a \x01 ", None]
+    one = wordids.WordEncoder(PATH)
+    assert one.between is not None
+    ids, sizes = one.encode(pa.array(texts, pa.string()))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+    assert one.encode(pa.array([], pa.string()))[0].tolist() == []

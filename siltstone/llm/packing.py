@@ -37,7 +37,7 @@ from siltstone.scratch import prefix_sums, written
 LENGTH = 2048
 END = 1
 #: Characters that are encoded at once.
-SLICE = 4_500_000
+SLICE = 2_000_000
 #: Tasks up to which their table (some 300 bytes a row) is broadcast; beyond it the join is left to the planner.
 BROADCAST_TASKS = 200_000
 
